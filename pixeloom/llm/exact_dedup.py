@@ -20,8 +20,12 @@ from pixeloom.plans.shared import shared_path, written
 
 #: The characters that normalisation deletes (fixed values).
 SPACES = " \t\n\x0b\x0c\r"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How the stream keeps its state: on disk, with a task's store closed once it is committed to the checkpoint.
+STREAM = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -46,8 +50,9 @@ def first_seen(keys: DataFrame) -> DataFrame:
     if source is None:
         return keys.groupBy("digest").agg(F.min(_order()).alias("best"), F.count("*").alias("n"))
     out = shared_path(spark, "dedup-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STREAM}
+    for k, v in STREAM.items():
+        spark.conf.set(k, v)
     try:
         arrivals = spark.readStream.schema(keys.schema).parquet(source)
         state = arrivals.groupBy("digest").agg(F.min(_order()).alias("best"), F.count("*").alias("n"))
@@ -55,7 +60,8 @@ def first_seen(keys: DataFrame) -> DataFrame:
         query = state.writeStream.outputMode("complete").option("checkpointLocation", shared_path(spark, "dedup-stream")).trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(schema).parquet(out)
 
 
