@@ -143,3 +143,14 @@ def run_ids(keys: np.ndarray) -> np.ndarray:
     new[0] = 0
     new[1:] = keys[1:] != keys[:-1]
     return np.cumsum(new)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, one place of each, and for every key the number of its distinct key."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    ids = run_ids(ranked)
+    new = np.flatnonzero(np.diff(ids, prepend=-1))
+    back = np.empty(len(keys), np.int64)
+    back[order] = ids
+    return ranked[new], order[new], back
