@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeloom.llm import chat, exact_dedup, language, mixing, packing, token_count, url_filter
+from pixeloom.llm import chat, embedding_dedup, exact_dedup, language, mixing, packing, token_count, url_filter
 from pixeloom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(tables.unionByName(own)))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -57,4 +61,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op4_chat, op6_url_filter, op8_language_id, op9_token_count, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op4_chat, op5_embedding_dedup, op6_url_filter, op8_language_id, op9_token_count, op10_mixing)}
