@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeloom.llm import chat, embedding_dedup, exact_dedup, language, mixing, packing, token_count, url_filter
+from pixeloom.llm import chat, embedding_dedup, exact_dedup, language, mixing, near_dedup, packing, token_count, url_filter
 from pixeloom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, locator=where).withColumnRenamed("digest", "text_sha256")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), near_dedup.Similarity(width=3, percent=85))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
@@ -61,4 +65,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op4_chat, op5_embedding_dedup, op6_url_filter, op8_language_id, op9_token_count, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_near_dedup, op4_chat, op5_embedding_dedup, op6_url_filter, op8_language_id, op9_token_count, op10_mixing)}
