@@ -56,4 +56,4 @@ def clear(spark: SparkSession) -> None:
 
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that a plan's result holds, from the sizes of the files that it reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
