@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeloom.llm import chat, embedding_dedup, exact_dedup, language, mixing, near_dedup, packing, token_count, url_filter
+from pixeloom.llm import chat, embedding_dedup, exact_dedup, language, mixing, near_dedup, packing, substring_dedup, token_count, url_filter
 from pixeloom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(read(spark, sf_dir, "documents"), ["doc_id", "lang"])
     return found.select("doc_id", F.col("lang").alias("declared"), "_language.language", "_language.confidence", "_language.kept")
@@ -65,4 +69,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_near_dedup, op4_chat, op5_embedding_dedup, op6_url_filter, op8_language_id, op9_token_count, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_near_dedup, op4_chat, op5_embedding_dedup, op6_url_filter, op7_substring_dedup, op8_language_id, op9_token_count, op10_mixing)}
