@@ -40,11 +40,14 @@ BROADCAST_ROWS = 100_000
 
 
 def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a batch's trigrams that start and end inside a text and hold a letter, and each one's text."""
-    c = CLASS[data]
-    codes = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    good = np.flatnonzero((text[2:] == text[:-2]) & (codes > 0))
+    """Codes of a batch's trigrams that hold a letter, and each one's text; a text has a gap before and behind it."""
+    n = len(bounds) - 1
+    text = np.repeat(np.arange(n), np.diff(bounds))
+    wide = np.zeros(len(data) + n + 1, np.int64)
+    middle = np.arange(len(data)) + text + 1
+    wide[middle] = CLASS[data]
+    codes = (wide[middle - 1] * CLASSES + wide[middle]) * CLASSES + wide[middle + 1]
+    good = np.flatnonzero(codes)
     return codes[good], text[good]
 
 
