@@ -87,6 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = state.where("n > 1").select("digest", F.col("best.id").alias("keep"))
     # full bytes of each hit against its keeper's
     texts = rows.select("id", norm.alias("norm")).withColumn("digest", digest(F.col("norm"))).join(hits, "digest")
+    texts = written(texts, "dedup-hits")
     keeper = texts.where(F.col("id").eqNullSafe(F.col("keep"))).select("digest", F.col("norm").alias("kept_norm"))
     false = texts.join(keeper, "digest").where("norm != kept_norm").select("digest").distinct()
     false = written(false, "dedup-false")
