@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Makes Spark delete an execution's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,10 +37,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again from there."""
+    """``df`` written once as Parquet in the shared folder and read again from there; its shuffle files go at once."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
