@@ -39,13 +39,13 @@ from pixeloom.llm.token_count import slices
 from pixeloom.plans.shared import scan_bytes, written
 
 #: Bytes of an anchor.
-ANCHOR = 20
+ANCHOR = 16
 #: Bytes of text that one task's bucket holds, and that are worked on at a time.
-BUCKET_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+BUCKET_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 #: Low bits of an anchor's hash that give way to its place; more only in a text of over 16 MB.
 PLACE_BITS = 24
 #: Records of the first pass that are held back to be packed together.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Different runs of one anchor up to which they are compared together; beyond, their windows are dealt out.
 MOST_RUNS = 20_000
 #: Kinds of verdicts on a run: repeated whole; to be compared with its anchor's other runs; to be compared by windows.
@@ -139,9 +139,10 @@ def run_ids_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def verdicts(records: np.ndarray, kind) -> np.ndarray:
     out = np.empty(len(records), VERDICT)
-    for name in ("doc", "at", "size", "anchor"):
+    for name in ("doc", "at", "size"):
         out[name] = records[name]
     out["kind"] = kind
+    out["anchor"] = np.where(out["kind"] == WHOLE, U64(0), records["anchor"])
     return out
 
 
@@ -153,20 +154,40 @@ def restore(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+#: Bytes of a hash that are kept.  An anchor's bucket comes from its other bits, so it tells anchors apart as well.
+KEPT = {"anchor": 5, "run": 6}
+
+
 def pack(rows: np.ndarray) -> bytes:
-    """Records column by column, so that they compress."""
-    return squeeze(b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names))
+    """Records column by column, so that they compress; places as steps from the one before."""
+    parts = []
+    for name in rows.dtype.names:
+        column = np.ascontiguousarray(rows[name])
+        if name == "at":
+            column = np.diff(column, prepend=column[:1] * 0)
+        if name in KEPT:
+            column = np.ascontiguousarray(column.view(np.uint8).reshape(-1, 8)[:, : KEPT[name]])
+        parts.append(column.tobytes())
+    return squeeze(np.array([len(rows)], "<i8").tobytes() + b"".join(parts))
 
 
 def unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
     parts = []
     for blob in blobs:
         raw = restore(blob)
-        m, at = len(raw) // kind.itemsize, 0
-        part = np.empty(m, kind)
+        m, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
+        part = np.zeros(m, kind)
         for name in kind.names:
-            part[name] = np.frombuffer(raw, kind[name], m, at)
-            at += m * kind[name].itemsize
+            if name in KEPT:
+                wide = np.zeros((m, 8), np.uint8)
+                wide[:, : KEPT[name]] = np.frombuffer(raw, np.uint8, m * KEPT[name], at).reshape(m, KEPT[name])
+                part[name] = wide.view("<u8").ravel()
+                at += m * KEPT[name]
+            else:
+                part[name] = np.frombuffer(raw, kind[name], m, at)
+                at += m * kind[name].itemsize
+        if "at" in kind.names:
+            part["at"] = np.cumsum(part["at"], dtype=np.uint32)
         parts.append(part)
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
@@ -195,7 +216,7 @@ def first_pass(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             done, rest = settle(np.concatenate(held) if held else np.zeros(0, RECORD), False)
             held.clear()
             rest = rest[np.lexsort((rest["at"], rest["doc"]))]
-            b1, r1 = dealt(rest, (rest["anchor"] % U64(buckets)).astype(np.int64))
+            b1, r1 = dealt(rest, (rest["anchor"] >> U64(8 * KEPT["anchor"])).astype(np.int64) % buckets)
             b2, r2 = dealt(done, bucket_of_doc(done["doc"], buckets))
             return pa.RecordBatch.from_arrays([pa.array([FIRST] * len(b1) + [LATER] * len(b2), pa.string()), pa.array(b1 + b2, pa.int64()), pa.array(r1 + r2, pa.binary())], ["kind", "bucket", "rows"])
 
@@ -216,16 +237,20 @@ def first_pass(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "kind string, bucket long, rows binary")
 
 
-def second_pass(open_records: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, rows): verdicts by document, from all records of each anchor."""
+def second_pass(first: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, rows): verdicts by document, from all records of each anchor and what the first pass knew."""
 
     def run(table: pa.Table) -> pa.Table:
-        done, _ = settle(unpack(table.column("rows").to_pylist(), RECORD), True)
-        done = done[np.lexsort((done["at"], done["doc"]))]
-        b, r = dealt(done, bucket_of_doc(done["doc"], buckets))
-        return pa.table({"bucket": pa.array(b, pa.int64()), "rows": pa.array(r, pa.binary())})
+        rows, same = table.column("rows").to_pylist(), table.column("bucket")[0].as_py()
+        if table.column("kind")[0].as_py() == LATER:
+            b, r = [same] * len(rows), rows
+        else:
+            done, _ = settle(unpack(rows, RECORD), True)
+            done = done[np.lexsort((done["at"], done["doc"]))]
+            b, r = dealt(done, bucket_of_doc(done["doc"], buckets))
+        return pa.table({"kind": pa.array([LATER] * len(b), pa.string()), "bucket": pa.array(b, pa.int64()), "rows": pa.array(r, pa.binary())})
 
-    return open_records.select("bucket", "rows").groupBy("bucket").applyInArrow(run, "bucket long, rows binary")
+    return first.groupBy("kind", "bucket").applyInArrow(run, "kind string, bucket long, rows binary")
 
 
 def pack_texts(ids: np.ndarray, texts: list[bytes]) -> bytes:
@@ -414,9 +439,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         raise ValueError(f"window must be in {ANCHOR + 1}..{ANCHOR + 63}")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     buckets = max(1, -(-2 * scan_bytes(rows) // BUCKET_BYTES))
-    first = written(first_pass(rows, window, buckets), "suffixes")
-    later = second_pass(first.where(F.col("kind") == FIRST), buckets).select(F.lit(LATER).alias("kind"), "bucket", "rows")
-    judged = written(first.where(F.col("kind") == LATER).unionByName(later), "suffix-verdicts")
+    judged = written(second_pass(first_pass(rows, window, buckets), buckets), "suffix-verdicts")
     texts = texts_by_bucket(rows, buckets)
     masks = written(last_pass(third_pass(texts, judged, window, buckets), window, buckets), "suffix-masks")
     return remove(texts, judged, masks, window).withColumnRenamed("id", id_col)
