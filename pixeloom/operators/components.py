@@ -7,10 +7,14 @@ count as one label.  Node numbers are unique over all images.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixeloom.operators.graph import connected_components
+from pixeloom.operators.graph import ONE_TASK_EDGES, connected_components
 from pixeloom.plans.shared import written
 
 
@@ -72,7 +76,29 @@ def size_threshold(size: F.Column, factor: float) -> F.Column:
     return F.floor((size * size).cast("float") * F.lit(float(factor)).cast("float") + F.lit(0.5)).cast("long")
 
 
-def enforce_connectivity(labels: DataFrame, clusters: int, min_size_factor: float, max_rounds: int = 64) -> DataFrame:
+def _chased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of all components of a small forest: pointers are followed until nothing changes."""
+    schema = pa.schema([("root", pa.int64()), ("label", pa.int32()), ("parent", pa.int64())])
+    table = pa.Table.from_batches([b.cast(schema) for b in batches], schema).sort_by("root")
+    root, label = table["root"].to_numpy(), table["label"].fill_null(-1).to_numpy()
+    up = np.searchsorted(root, np.where(label >= 0, root, table["parent"].fill_null(0).to_numpy()))
+    while not np.array_equal(up, up[up]):
+        up = up[up]
+    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(label[up])], ["root", "label"])
+
+
+def _settled(forest: DataFrame, max_rounds: int) -> DataFrame:
+    """(root, label): each component's label, or the one that its pointers lead to; rounds double the pointers."""
+    for _ in range(max_rounds):
+        if forest.where("label is null").isEmpty():
+            return forest.select("root", "label")
+        up = forest.select(F.col("root").alias("parent"), F.col("label").alias("up_label"), F.col("parent").alias("up_parent"))
+        forest = forest.join(up, "parent", "left").select("root", F.coalesce("label", "up_label").alias("label"), F.when(F.col("label").isNull() & F.col("up_label").isNull(), F.col("up_parent")).alias("parent"))
+        forest = written(forest, "forest")
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+
+
+def enforce_connectivity(labels: DataFrame, clusters: int, min_size_factor: float, max_rounds: int = 64, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(image_id, y, x, label) from labels with columns image_id, y, x, k, w, s and h.
 
     Large components are labelled by first pixel; the first component of an image without a label gets 0; any other
@@ -89,13 +115,7 @@ def enforce_connectivity(labels: DataFrame, clusters: int, min_size_factor: floa
     small = known.where("label is null").select(F.col("image_id").alias("i2"), "root", F.floor(beside / F.col("w")).cast("int").alias("y2"), (beside % F.col("w")).cast("int").alias("at"))
     parent = small.join(runs.select("image_id", "y", "x0", "x1", F.col("root").alias("parent")), (F.col("i2") == F.col("image_id")) & (F.col("y2") == F.col("y")) & F.col("at").between(F.col("x0"), F.col("x1"))).select("root", "parent")
     forest = written(known.select("root", "label").join(parent, "root", "left"), "forest")
-    for _ in range(max_rounds):  # pointers are doubled, so rounds are the logarithm of the depth
-        if forest.where("label is null").isEmpty():
-            break
-        up = forest.select(F.col("root").alias("parent"), F.col("label").alias("up_label"), F.col("parent").alias("up_parent"))
-        forest = forest.join(up, "parent", "left").select("root", F.coalesce("label", "up_label").alias("label"), F.when(F.col("label").isNull() & F.col("up_label").isNull(), F.col("up_parent")).alias("parent"))
-        forest = written(forest, "forest")
-    else:
-        raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
-    labelled = runs.join(forest.select("root", "label"), "root")
+    few = forest.count() <= one_task
+    settled = forest.coalesce(1).mapInArrow(_chased, "root long, label int") if few else _settled(forest, max_rounds)
+    labelled = runs.join(settled, "root")
     return labelled.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("label").cast("int"))

@@ -139,9 +139,10 @@ def test_components_and_clean_up(spark, seed):
     assert np.array_equal(local.components(k).reshape(h, w), brute_components(k))
     rows = [(0, y, x, int(k[y, x]) if k[y, x] >= 0 else None, w, h, 4) for y in range(h) for x in range(w)]
     state = spark.createDataFrame(rows, "image_id long, y int, x int, k int, w int, h int, s int")
-    got = {(r.y, r.x): r.label for r in components.enforce_connectivity(state, 5, 0.25).collect()}
     want = local.connectivity(k, 4, 5, 0.25)
-    assert got == {(y, x): want[y, x] for y in range(h) for x in range(w)}
+    for one_task in (0, 1000):
+        got = {(r.y, r.x): r.label for r in components.enforce_connectivity(state, 5, 0.25, one_task=one_task).collect()}
+        assert got == {(y, x): want[y, x] for y in range(h) for x in range(w)}
 
 
 @pytest.mark.parametrize("one_task", [0, 1000])
