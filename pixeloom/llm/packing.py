@@ -34,7 +34,7 @@ MOST_PATTERNS = 8192
 #: Triples are enumerated while there are at most so many; their number is bounded by the capacity's square.
 MOST_TRIPLES = 2_000_000
 #: Token sequences of words that are kept between batches.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 400_000
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -65,9 +65,12 @@ class WordTokens:
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Places of the words' sequences."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in got], np.int64)
-        new = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+        got, sizes = [], []
+        for a in range(0, len(words), 2000):  # the library's results are large while they live
+            some = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 2000]], add_special_tokens=False)]
+            sizes += map(len, some)
+            got.append(np.fromiter((i for x in some for i in x), np.uint32))
+        sizes, new = np.array(sizes, np.int64), np.concatenate(got)
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(new)] = new

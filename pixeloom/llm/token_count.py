@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pixeloom.llm.bytekit import U64, buffer_of, distinct, prefix_sums, range_hash
 
 #: Bytes of text that are worked on at a time, and bytes of a chunk of a longer text.
-SLICE, CHUNK = 2 << 20, 1 << 20
+SLICE, CHUNK = 1 << 20, 1 << 20
 #: Transitions kept; the table is begun anew beyond that, which only costs compiling.
-MOST_TRANSITIONS = 4_000_000
+MOST_TRANSITIONS = 2_000_000
 SPACE, LINE = 0x20, 0x0A
 MARK = "▁"  # the model's sign for a space; in a text it is the same as a space
 
