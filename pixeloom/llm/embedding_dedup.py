@@ -209,7 +209,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     rows = written(valid_vectors(vectors, id_col, vector_col), "vectors")
-    classes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.length("key") / 8), "vector-classes")
+    classes = written(rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.length("key") / 8), "vector-classes")
     spark = vectors.sparkSession
     links = spark.createDataFrame([], "rep long, links long, root long")
     # vectors of one table have one dimension, or a few

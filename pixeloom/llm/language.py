@@ -109,8 +109,8 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     """
     none = F.lit(None).cast("string")
     col = lambda c: none if c is None else F.col(f"`{c}`").cast("string")
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("_id"), col(text_col).alias("_text"), col(declared_col).alias("_declared"), col(host_col).alias("_host"), col(parent_col).alias("_parent"), col(suffix_col).alias("_suffix"))
-    languages, model = fit_text_model(base.select(F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_declared").alias("declared")), sample_rows)
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("lid__id"), col(text_col).alias("lid__text"), col(declared_col).alias("lid__declared"), col(host_col).alias("lid__host"), col(parent_col).alias("lid__parent"), col(suffix_col).alias("lid__suffix"))
+    languages, model = fit_text_model(base.select(F.col("lid__id").alias("id"), F.col("lid__text").alias("text"), F.col("lid__declared").alias("declared")), sample_rows)
     verdict = "struct<language:string,confidence:double,kept:boolean>"
     if not languages:
         return base.select(*keep, F.lit(None).cast(verdict).alias("_language")).withColumn("_language", F.struct(none.alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept")))
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = buffer_of(batch.column(batch.schema.get_field_index("_text")))
+            data, bounds = buffer_of(batch.column(batch.schema.get_field_index("lid__text")))
             sums, n = np.zeros((len(batch), len(languages))), np.zeros(len(batch), np.int64)
             for a, b in slices(bounds):
                 codes, text = trigrams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
@@ -127,47 +127,47 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
                     sums[a:b, k] = np.bincount(text, shared.value[k][codes], b - a)
             scale = np.minimum(n, FULL_WEIGHT) / np.maximum(n, 1)
             each = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, len(languages), dtype=np.int32)), pa.array((sums * scale[:, None]).ravel()))
-            kept = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("_text", "_id") or f.name in keep]
-            names = [f.name for f in batch.schema if f.name not in ("_text", "_id") or f.name in keep]
-            yield pa.RecordBatch.from_arrays([*kept, each, pa.array(n)], [*names, "_logs", "_letters"])
+            kept = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("lid__text", "lid__id") or f.name in keep]
+            names = [f.name for f in batch.schema if f.name not in ("lid__text", "lid__id") or f.name in keep]
+            yield pa.RecordBatch.from_arrays([*kept, each, pa.array(n)], [*names, "lid__logs", "lid__letters"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in base.schema if f.name not in ("_text", "_id") or f.name in keep])
-    schema = schema.add("_logs", T.ArrayType(T.DoubleType())).add("_letters", T.LongType())
+    schema = T.StructType([f for f in base.schema if f.name not in ("lid__text", "lid__id") or f.name in keep])
+    schema = schema.add("lid__logs", T.ArrayType(T.DoubleType())).add("lid__letters", T.LongType())
     rows = base.mapInArrow(likelihoods, schema)
     # counts over all rows, by grouped aggregation
-    by = base.where(F.col("_declared").isin(languages)).groupBy("_host", "_parent", "_suffix").agg(*[F.sum((F.col("_declared") == x).cast("long")).alias(f"n{k}") for k, x in enumerate(languages)])
+    by = base.where(F.col("lid__declared").isin(languages)).groupBy("lid__host", "lid__parent", "lid__suffix").agg(*[F.sum((F.col("lid__declared") == x).cast("long")).alias(f"n{k}") for k, x in enumerate(languages)])
     names = [f"n{k}" for k in range(len(languages))]
     totals = by.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
     everything = sum(totals)
     world = [(totals[k] + 1.0) / (everything + len(languages)) for k in range(len(languages))]
-    score = F.col("_logs")
+    score = F.col("lid__logs")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     uniform = F.array(*[F.lit(math.log(w)) for w in world])
     if host_col is not None:
-        hosts = by.where("_host is not null").groupBy("_host").agg(F.min("_parent").alias("_up"), *[F.sum(n).alias(n) for n in names])
-        parents = hosts.where("_up is not null").groupBy("_up").agg(*[F.sum(n).alias(f"p{n}") for n in names])
-        hosts = hosts.join(parents, "_up", "left").na.fill(0, [f"p{n}" for n in names])
+        hosts = by.where("lid__host is not null").groupBy("lid__host").agg(F.min("lid__parent").alias("lid__up"), *[F.sum(n).alias(n) for n in names])
+        parents = hosts.where("lid__up is not null").groupBy("lid__up").agg(*[F.sum(n).alias(f"p{n}") for n in names])
+        hosts = hosts.join(parents, "lid__up", "left").na.fill(0, [f"p{n}" for n in names])
         all_here, all_up = sum(map(F.col, names)), sum(F.col(f"p{n}") for n in names)
         up = [(F.col(f"p{n}") + F.lit(SMOOTHING * w)) / (all_up + SMOOTHING) for n, w in zip(names, world, strict=True)]
         prior = _logs([(F.col(n) + SMOOTHING * u) / (all_here + SMOOTHING) for n, u in zip(names, up, strict=True)])
-        rows = _joined(rows, hosts.select("_host", prior.alias("_prior")), "_host")
-        score = add(score, F.coalesce("_prior", uniform))
+        rows = _joined(rows, hosts.select("lid__host", prior.alias("lid__prior")), "lid__host")
+        score = add(score, F.coalesce("lid__prior", uniform))
     else:
         score = add(score, uniform)
     if suffix_col is not None:
-        seen = by.where("_suffix is not null").groupBy("_suffix").agg(*[F.sum(n).alias(n) for n in names])
+        seen = by.where("lid__suffix is not null").groupBy("lid__suffix").agg(*[F.sum(n).alias(n) for n in names])
         likely = _logs([(F.col(n) + F.lit(w)) / F.lit(totals[k] + 1.0) for k, (n, w) in enumerate(zip(names, world, strict=True))])
-        rows = _joined(rows, seen.select("_suffix", likely.alias("_address")), "_suffix")
-        score = add(score, F.coalesce("_address", F.array(*[F.lit(0.0)] * len(languages))))
+        rows = _joined(rows, seen.select("lid__suffix", likely.alias("lid__address")), "lid__suffix")
+        score = add(score, F.coalesce("lid__address", F.array(*[F.lit(0.0)] * len(languages))))
     rest = (1 - TRUST) / max(1, len(languages) - 1)
-    said = F.when(F.col("_declared").isin(languages), F.array(*[F.when(F.col("_declared") == x, math.log(TRUST)).otherwise(math.log(rest)) for x in languages])).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
-    rows = rows.withColumn("_score", add(score, said))
-    top = F.array_max("_score")
-    share = 1 / F.aggregate(F.transform("_score", lambda s: F.exp(s - top)), F.lit(0.0), lambda a, x: a + x)
-    name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_score", top).cast("int"))
-    read = F.col("_letters") > 0
+    said = F.when(F.col("lid__declared").isin(languages), F.array(*[F.when(F.col("lid__declared") == x, math.log(TRUST)).otherwise(math.log(rest)) for x in languages])).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
+    rows = rows.withColumn("lid__score", add(score, said))
+    top = F.array_max("lid__score")
+    share = 1 / F.aggregate(F.transform("lid__score", lambda s: F.exp(s - top)), F.lit(0.0), lambda a, x: a + x)
+    name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("lid__score", top).cast("int"))
+    read = F.col("lid__letters") > 0
     found = F.struct(F.when(read, name).alias("language"), F.when(read, share).otherwise(0.0).alias("confidence"), (read & (share >= least_confidence)).alias("kept"))
     return rows.select(*[F.col(f"`{c}`") for c in keep], found.alias("_language"))
 

@@ -437,9 +437,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     if not ANCHOR < window <= ANCHOR + 63:
         raise ValueError(f"window must be in {ANCHOR + 1}..{ANCHOR + 63}")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    null = F.lit(-(1 << 63)).cast("long")  # stands for a null id, before all others
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), null).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     buckets = max(1, -(-2 * scan_bytes(rows) // BUCKET_BYTES))
     judged = written(second_pass(first_pass(rows, window, buckets), buckets), "suffix-verdicts")
     texts = texts_by_bucket(rows, buckets)
     masks = written(last_pass(third_pass(texts, judged, window, buckets), window, buckets), "suffix-masks")
-    return remove(texts, judged, masks, window).withColumnRenamed("id", id_col)
+    out = remove(texts, judged, masks, window)
+    return out.select(F.when(F.col("id") != null, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

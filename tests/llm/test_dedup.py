@@ -173,3 +173,14 @@ def test_embedding_dedup(spark, monkeypatch, block, sub):
                 p, q = find(parent, i), find(parent, j)
                 parent[max(p, q)] = min(p, q)
     assert got == {i: (links[i], find(parent, i), find(parent, i) == i) for i in parent}
+
+
+def test_null_ids_are_no_trouble(spark):
+    rows = [(None, "a b c d e f g " * 9), (None, None), (3, "a b c d e f g " * 9)]
+    frame = table(spark, rows)
+    assert exact_dedup.exact_dedup(frame).count() == 3
+    assert near_dedup.near_dedup(frame).count() == 3
+    got = {(r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(frame).collect()}
+    assert got == {(None, 0), (3, 126)}
+    vectors = spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None)], "vec_id long, embedding array<double>")
+    assert embedding_dedup.embedding_dedup(vectors).count() == 3

@@ -256,9 +256,9 @@ def test_pipeline(spark, tmp_path):
         rows.append((i, t + " " + " ".join(rng.choice(LANGUAGES[name].split()) for _ in range(80)), name, f"s{i % 4}", 0, "n", "k"))
     rows += [(500, rows[0][1], "en", "s1", 0, "n", "k"), (501, "  " + rows[1][1], "en", None, 0, "n", "k"), (502, rows[2][1] + " extra", rows[2][2], "s1", 0, "n", "k"), (503, None, None, None, None, None, None), (7, rows[7][1], rows[7][2], "s3", 0, "n", "k")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, _id string")
+    frame = frame.withColumnRenamed("_id", "_text")
     where = str(tmp_path / "documents.parquet")
-    frame.drop("_id").write.parquet(where)
-    frame = frame.drop("_id")
+    frame.write.parquet(where)
     kept = {}
     for k, (name, stage) in enumerate(pipeline.STAGES):
         frame = stage(spark, frame, str(tmp_path))
@@ -266,7 +266,7 @@ def test_pipeline(spark, tmp_path):
         frame = spark.read.parquet(str(tmp_path / f"stage-{k}"))
         kept[name] = sorted(r.doc_id for r in frame.collect())
         if k < len(pipeline.STAGES) - 1:
-            assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", "size"]
+            assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "_text"]
     first, exact, near, mixed, _ = kept.values()
     assert 503 not in first and len(first) == len(rows) - 1
     assert exact.count(7) == 1 and 0 in exact and 500 not in exact and 501 in exact and 1 not in exact and 502 in exact
