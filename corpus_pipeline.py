@@ -33,39 +33,39 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with one text the longest, then the one with the smallest id, stays; of repeated rows one stays."""
-    rows = written(exact_dedup.exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "exact-dedup")
-    by_id = rows.groupBy("_id").agg(F.count("*").alias("_n"), F.sum(F.col("_kept").cast("int")).alias("_stay"))
-    gone = small(by_id.where("_stay = 0").select("_id"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    again = small(by_id.where("_stay > 0 and _n > _stay").select("_id"))
+    rows = written(exact_dedup.exact_dedup(docs).select(F.col("doc_id").alias("cp__id"), F.col("kept").alias("cp__kept")), "exact-dedup")
+    by_id = rows.groupBy("cp__id").agg(F.count("*").alias("cp__n"), F.sum(F.col("cp__kept").cast("int")).alias("cp__stay"))
+    gone = small(by_id.where("cp__stay = 0").select("cp__id"))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("cp__id")), "left_anti")
+    again = small(by_id.where("cp__stay > 0 and cp__n > cp__stay").select("cp__id"))
     if again.isEmpty():
         return left
     # an id that stands on rows that stay and rows that go: one row stays for each of its texts that stays
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
+    same = docs["doc_id"].eqNullSafe(F.col("cp__id"))
     rest = left.join(again, same, "left_anti")
     norm = exact_dedup.sha256(exact_dedup.normalised(F.col("text")))
-    own = left.join(again, same, "left_semi").withColumn("_digest", norm)
-    place = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(F.length("text").desc_nulls_last(), *[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    own = own.withColumn("_place", place).where("_place = 1")
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept_digest"))
-    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    own = left.join(again, same, "left_semi").withColumn("cp__digest", norm)
+    place = F.row_number().over(Window.partitionBy("doc_id", "cp__digest").orderBy(F.length("text").desc_nulls_last(), *[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    own = own.withColumn("cp__place", place).where("cp__place = 1")
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("cp__id"), F.col("digest").alias("cp__kept_digest"))
+    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("cp__id")) & (F.col("cp__digest") == F.col("cp__kept_digest")), "left_semi")
     return rest.unionByName(own.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
     found = near_dedup.near_dedup(docs, near_dedup.Similarity(width=5, percent=80))
-    gone = small(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    gone = small(found.where("not kept").select(F.col("doc_id").alias("cp__id")).distinct())
+    return docs.join(gone, docs["doc_id"] == F.col("cp__id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows that repeat an id are taken equally often."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    copies = small(copies.select(F.col("doc_id").alias("_id"), "_copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("cp__copies")).where("cp__copies > 0")
+    copies = small(copies.select(F.col("doc_id").alias("cp__id"), "cp__copies"))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("cp__id")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*columns)
+    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("cp__copies"))).alias("cp__copy")).select(*columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
