@@ -39,22 +39,36 @@ def spatial_table(size: int, config: Config) -> np.ndarray:
     return np.minimum(np.floor(weight * offset), 65535).astype(np.int64)
 
 
+def distance_type(table: np.ndarray) -> type:
+    """The narrowest integers that hold every distance, with a value above them to start from."""
+    return np.int16 if table.max() + 3 * 255 < np.iinfo(np.int16).max else np.int32
+
+
 def assign(lab: np.ndarray, clusters: np.ndarray, size: int, table: np.ndarray, config: Config, start: int, stride: int, k: np.ndarray, best: np.ndarray) -> None:
+    """Of sampled rows, ``k`` and ``best`` (of distance_type) become those of the nearest cluster; lab is (h, w, 3)."""
     h, w, _ = lab.shape
-    far = np.iinfo(np.int32).max
-    best[start::stride] = far
+    kind = best.dtype
+    planes = [np.ascontiguousarray(lab[start::stride, :, c], kind) for c in range(3)]
+    near, own = np.full(planes[0].shape, np.iinfo(kind).max, kind), np.ascontiguousarray(k[start::stride])
+    table = table.astype(kind)
     for number in np.lexsort((np.arange(len(clusters)), clusters[:, 0])):
-        cy, cx, *color = clusters[number, :5]
-        top, left, right = max(cy - size, 0), max(cx - size, 0), min(cx + size, w - 1) + 1
-        rows = np.arange(top + (start - top) % stride, min(cy + size + 1, h), stride)
-        if not len(rows):
+        cy, cx, *color = clusters[number, :5].tolist()
+        # rows start + i * stride of the window
+        first, last = -(-(max(cy - size, 0) - start) // stride), -(-(min(cy + size + 1, h) - start) // stride)
+        first = max(first, 0)
+        if first >= last:
             continue
-        dy = np.abs(rows - (max(cy, size) if config.top_clip else cy))
-        part = slice(rows[0], rows[-1] + 1, stride)
-        d = np.abs(lab[part, left:right] - np.array(color, lab.dtype)).sum(2) + table[dy][:, np.abs(np.arange(left, right) - cx)]
-        better = d < best[part, left:right]
-        best[part, left:right][better] = d[better]
-        k[part, left:right][better] = number
+        left, right = max(cx - size, 0), min(cx + size, w - 1) + 1
+        rows = start + np.arange(first, last) * stride
+        d = table[np.abs(rows - (max(cy, size) if config.top_clip else cy))[:, None], np.abs(np.arange(left, right) - cx)]
+        for plane, value in zip(planes, color, strict=True):
+            part = plane[first:last, left:right] - kind.type(value)
+            d += np.abs(part, out=part)
+        old = near[first:last, left:right]
+        better = d < old
+        np.copyto(old, d, where=better)
+        np.copyto(own[first:last, left:right], number, where=better)
+    best[start::stride], k[start::stride] = near, own
 
 
 def update(lab: np.ndarray, clusters: np.ndarray, k: np.ndarray, start: int, stride: int) -> np.ndarray:
@@ -73,13 +87,15 @@ def update(lab: np.ndarray, clusters: np.ndarray, k: np.ndarray, start: int, str
 
 
 def components(k: np.ndarray) -> np.ndarray:
-    """The smallest flat index of each pixel's 4-connected component of one label."""
+    """The smallest flat index of each pixel's 4-connected component of one label; runs of a row are the nodes."""
     h, w = k.shape
-    label = np.arange(h * w).reshape(h, w)
-    across, down = k[:, 1:] == k[:, :-1], k[1:] == k[:-1]
-    i = np.concatenate([label[:, :-1][across], label[:-1][down]])
-    j = np.concatenate([label[:, 1:][across], label[1:][down]])
-    label = label.ravel().copy()
+    new = np.ones((h, w), bool)
+    np.not_equal(k[:, 1:], k[:, :-1], out=new[:, 1:])
+    run = (np.cumsum(new.ravel()) - 1).reshape(h, w)
+    # where two rows agree, a pair of runs shows where the later of them starts
+    meet = (k[1:] == k[:-1]) & (new[1:] | new[:-1])
+    i, j = run[1:][meet], run[:-1][meet]
+    label = np.arange(int(run[-1, -1]) + 1)
     while len(i):
         a, b = label[i], label[j]
         differ = a != b
@@ -89,13 +105,15 @@ def components(k: np.ndarray) -> np.ndarray:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while not np.array_equal(label, label[label]):
             label = label[label]
-    return label
+    return np.flatnonzero(new)[label][run.ravel()]
 
 
 def connectivity(k: np.ndarray, size: int, count: int, factor: float) -> np.ndarray:
     h, w = k.shape
     root = components(k)
-    leaders, comp, members = np.unique(root, return_inverse=True, return_counts=True)
+    leaders = np.flatnonzero(root == np.arange(h * w))
+    comp = np.searchsorted(leaders, root)
+    members = np.bincount(comp)
     least = int(np.floor(np.float64(np.float32(size * size) * np.float32(factor)) + 0.5))
     big = np.flatnonzero(members >= least)
     if len(big) > count:
@@ -118,7 +136,8 @@ def run(lab: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray, np.nda
     size = int(np.sqrt(np.float32(h * w) / np.float32(count)))
     table = spatial_table(size, config)
     clusters = seeds(lab, count)
-    k, best = np.full((h, w), -1, np.int64), np.full((h, w), np.iinfo(np.int32).max, np.int64)
+    kind = distance_type(table)
+    k, best = np.full((h, w), -1, np.int32), np.full((h, w), np.iinfo(kind).max, kind)
     start, stride = 0, config.subsample_stride
     for _ in range(config.max_iterations):
         assign(lab, clusters, size, table, config, start, stride, k, best)
@@ -127,7 +146,8 @@ def run(lab: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray, np.nda
     assign(lab, clusters, size, table, config, 0, 1, k, best)
     if config.final_update:
         clusters = update(lab, clusters, k, 0, 1)
-    best[best == np.iinfo(np.int32).max] = -1
+    best = best.astype(np.int64)
+    best[best == np.iinfo(kind).max] = -1
     return connectivity(k, size, count, config.min_size_factor), best, clusters
 
 

@@ -94,7 +94,7 @@ def test_no_pixel_is_left_unassigned(w, h):
     count = max(2, w * h // 1000)
     size = int(np.sqrt(np.float32(w * h) / np.float32(count)))
     config = Config(num_of_clusters=count, subsample_stride=1)
-    k, best = np.full((h, w), -1), np.full((h, w), np.iinfo(np.int32).max)
+    k, best = np.full((h, w), -1), np.full((h, w), np.iinfo(np.int16).max, np.int16)
     local.assign(lab, local.seeds(lab, count), size, local.spatial_table(size, config), config, 0, 1, k, best)
     assert (k >= 0).all()
 
