@@ -89,7 +89,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.select("id", norm.alias("norm")).withColumn("digest", digest(F.col("norm"))).join(hits, "digest")
     texts = written(texts, "dedup-hits")
     keeper = texts.where(F.col("id").eqNullSafe(F.col("keep"))).select("digest", F.col("norm").alias("kept_norm"))
-    false = texts.join(keeper, "digest").where("norm != kept_norm").select("digest").distinct()
+    false = texts.join(keeper, "digest").where("norm != kept_norm").select("digest")
     false = written(false, "dedup-false")
     joined = keys.join(state, "digest")
     done = joined.select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), "digest")
