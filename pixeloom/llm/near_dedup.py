@@ -38,6 +38,8 @@ SYMBOLS, BITS, CHUNKS = 64, 16, 16
 MISS = 5e-5
 #: Rows of one key or cluster that one task compares; larger ones are cut into blocks of that size.
 BLOCK = 8192
+#: A cluster is cut into blocks of so many rows, but into no more than SPREAD unless those exceed BLOCK rows.
+CLUSTER_BLOCK, SPREAD = 1024, 8
 #: Rows that a task of the join and of the comparison gets, about.
 KEY_ROWS, SET_ROWS = 200_000, 1500
 #: Cluster members up to which their identifiers are broadcast to the second scan; beyond, they are joined by shuffle.
@@ -214,13 +216,13 @@ def confirmed_forest(docs: DataFrame, clusters: DataFrame, id_col: str, text_col
     spark = docs.sparkSession
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "component")
-    n = members.count()
-    tasks = max(1, -(-n // SET_ROWS))
     # a large cluster is cut into blocks by hashed id, and every two blocks meet in a tile
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.least(F.ceil(F.col("size") / F.lit(CLUSTER_BLOCK)), F.lit(SPREAD))).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     seats = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
     members = written(members.select(F.col("node").alias("id"), "component", seats.alias("seats")), "near-members")
+    n, dealt_rows = members.agg(F.count("*"), F.coalesce(F.sum(F.size("seats")), F.lit(0))).first()
+    tasks = max(1, -(-dealt_rows // SET_ROWS))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = rows.join(F.broadcast(members) if n <= BROADCAST_ROWS else members, "id")
 
