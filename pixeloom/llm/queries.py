@@ -57,8 +57,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document (``page_id`` null) and one per page (``doc_id`` null), each table judged on its own evidence."""
+    none = F.lit(None).cast("long")
     found = language.identify(read(spark, sf_dir, "documents"), ["doc_id", "lang"])
-    return found.select("doc_id", F.col("lang").alias("declared"), "_language.language", "_language.confidence", "_language.kept")
+    found = found.select("doc_id", none.alias("page_id"), F.col("lang").alias("declared"), "_language")
+    pages = language.page_evidence(read(spark, sf_dir, "pages")).select("page_id", "evidence.*")
+    seen = language.identify(pages, ["page_id", "declared"], id_col="page_id", declared_col="declared", host_col="host", parent_col="parent", suffix_col="suffix")
+    rows = found.unionByName(seen.select(none.alias("doc_id"), "page_id", "declared", "_language"))
+    return rows.select("doc_id", "page_id", "declared", "_language.language", "_language.confidence", "_language.kept")
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,55 @@ def test_page_evidence(spark):
     assert got[1].host is None and got[2].host is None and got[2].declared is None
 
 
+def brute_language(spark, rows):
+    """(language, confidence) of (id, text, declared, host, parent, suffix) rows: text likelihoods from the model, the rest counted."""
+    frame = spark.createDataFrame([r[:3] for r in rows], "id long, text string, declared string")
+    names, model = language.fit_text_model(frame)
+    named = [r for r in rows if r[2] in names]
+    world = [(sum(r[2] == x for r in named) + 1) / (len(named) + len(names)) for x in names]
+    out = {}
+    for i, text, declared, host, parent, suffix in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        codes, _ = language.trigrams(raw, np.array([0, len(raw)]))
+        score = []
+        for k, x in enumerate(names):
+            logs = model[k][codes].astype(float).sum() * min(len(codes), language.FULL_WEIGHT) / max(1, len(codes))
+            prior = world[k]
+            here, up = [r for r in named if r[3] == host], [r for r in named if r[4] == parent]
+            if host is not None and here:
+                prior = (sum(r[2] == x for r in up) + 20 * prior) / (len(up) + 20)
+                prior = (sum(r[2] == x for r in here) + 20 * prior) / (len(here) + 20)
+            at = [r for r in named if suffix is not None and r[5] == suffix]
+            address = (sum(r[2] == x for r in at) + world[k]) / (sum(r[2] == x for r in named) + 1) if at else 1
+            said = 1 if declared not in names else 0.9 if declared == x else 0.1 / (len(names) - 1)
+            score.append(logs + math.log(prior) + math.log(address) + math.log(said))
+        best = max(score)
+        out[i] = (names[score.index(best)], 1 / sum(math.exp(s - best) for s in score)) if len(codes) else (None, 0.0)
+    return out
+
+
+def test_op8_uses_the_evidence_of_pages(spark, tmp_path):
+    ends = {"en": "com", "fr": "fr", "de": "de", "es": "es"}
+    pages = [(i, f"https://h{i % 3}.{name}{i % 2}.{'com' if i % 6 == 0 else ends[name]}/{i}", f"<html{'' if i % 5 == 0 else f' lang={name!r}'}><p>{t}</p></html>") for i, t, name in language_rows(8, 200)]
+    probes = {900 + k: name for k, name in enumerate(sorted(LANGUAGES))}
+    pages += [(i, f"http://new-{name}.{ends[name]}/", "<p>z</p>") for i, name in probes.items()] + [(910, None, "<p>été</p>"), (911, "http://x.fr/", None), (912, "http://x.unseen/", "<p>der die</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    documents = spark.createDataFrame([(i, t, name, "s") for i, t, name in language_rows(9, 100)], "doc_id long, text string, lang string, source string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_language_id(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got if r.page_id is None) == list(range(100))
+    alone = {r.doc_id: tuple(r._language) for r in language.identify(documents, ["doc_id"]).collect()}
+    assert all((r.language, r.confidence, r.kept) == alone[r.doc_id] for r in got if r.page_id is None)
+    seen = {r.page_id: r for r in got if r.doc_id is None}
+    evidence = language.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")).select("page_id", "evidence.*").collect()
+    want = brute_language(spark, [(r.page_id, r.text, r.declared, r.host, r.parent, r.suffix) for r in evidence])
+    assert sorted(seen) == sorted(want) and all(seen[r.page_id].declared == r.declared for r in evidence)
+    for i, (name, share) in want.items():
+        assert (seen[i].language, seen[i].kept) == (name, share >= 0.5) and math.isclose(seen[i].confidence, share, rel_tol=1e-4), i
+    # nothing but the suffix tells these apart
+    assert {i: seen[i].language for i in probes} == probes
+
+
 def brute_url(url):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
     host = path = ""
