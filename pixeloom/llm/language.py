@@ -3,10 +3,11 @@
 A document's posterior over the languages is the product of four pieces of
 evidence: the likelihood of its text under letter trigrams, the language that
 its mark-up or record declares, its address suffix, and a prior of its host.
-The trigram model is fitted on a bounded sample of rows with a declared
-language; suffix likelihoods and host priors are counts over all rows, by
-grouped aggregation.  A host's prior is smoothed towards its parent's (its
-registered domain, say), and that one towards the whole table's.
+The languages are those declared in the table, counted over all rows.  The
+trigram model is fitted on a bounded sample of each language's rows; suffix
+likelihoods and host priors are counts over all rows, by grouped aggregation.
+A host's prior is smoothed towards its parent's (its registered domain, say),
+and that one towards the whole table's.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ CLASSES = 64
 CLASS = np.zeros(256, np.int64)
 CLASS[97:123] = CLASS[65:91] = np.arange(1, 27)
 CLASS[128:] = 27 + np.arange(128) % 37
-#: Rows the text model is fitted on, about; a language needs this many of them to be known at all.
+#: Rows of a language that the text model is fitted on, about; rows of the whole table a language needs to be known at all.
 SAMPLE_ROWS, LEAST_ROWS = 4000, 5
 #: Trigrams of a text that count in full: neighbours depend on each other, so long texts must not overrule all else.
 FULL_WEIGHT = 60
@@ -54,15 +55,18 @@ def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def fit_text_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigrams' log probabilities, from (id, text, declared) rows.
 
-    The sample is the rows whose hashed id falls in the share of the hash range that ``sample_rows`` is of all
-    labelled rows; all of them where there are fewer.  Whole texts count.
+    A language is known that ``LEAST_ROWS`` of all rows declare (where none has so many, those with the most).  Its
+    sample is its rows whose hashed id falls in the share of the hash range that ``sample_rows`` is of its rows; all
+    of them where there are fewer.  Whole texts count.
     """
-    labelled = rows.where("declared is not null")
-    total = labelled.count()
-    if not total:
+    labels = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
+    # one row per language
+    known = labels.where(F.col("n") >= LEAST_ROWS).collect() or labels.where(F.col("n") == (labels.agg(F.max("n")).first()[0] or 0)).collect()
+    if not known:
         return [], np.zeros((0, CLASSES**3), np.float32)
-    share = min(1.0, sample_rows / total)
-    picked = labelled.where((F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)) < share)
+    languages = sorted(r.declared for r in known)
+    share = F.create_map(*[F.lit(x) for r in known for x in (r.declared, min(1.0, sample_rows / r.n))])[F.col("declared")]
+    picked = rows.where((F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,16 +76,13 @@ def fit_text_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[lis
                 codes, text = trigrams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 for name in set(names[a:b]):
                     seen, n = np.unique(codes[names[a:b][text] == name] if len(codes) else codes, return_counts=True)
-                    seen, n = np.append(seen, -1), np.append(n, (names[a:b] == name).sum())
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen)), pa.array(seen), pa.array(n)], ["declared", "code", "n"])
 
     # at most one row per language and trigram, whatever the input
     counts = picked.select("text", "declared").mapInArrow(count, "declared string, code long, n long").groupBy("declared", "code").agg(F.sum("n").alias("n")).toPandas()
-    rows_of = counts[counts.code == -1].set_index("declared").n
-    languages = sorted(rows_of[rows_of >= min(LEAST_ROWS, rows_of.max())].index)
     model = np.zeros((len(languages), CLASSES**3), np.float32)
     for k, name in enumerate(languages):
-        own = counts[(counts.declared == name) & (counts.code >= 0)]
+        own = counts[counts.declared == name]
         freq = np.full(CLASSES**3, 0.05)
         freq[own.code.to_numpy()] += own.n.to_numpy()
         model[k] = np.log(freq / freq.sum())

@@ -157,6 +157,17 @@ def test_language_on_held_out_rows(spark):
     assert not language.identify(frame.withColumn("lang", F.lit(None).cast("string")), ["doc_id"]).where("_language.kept").count()
 
 
+def test_a_rare_language_is_known(spark):
+    rows = [(i, t, name) for i, t, name in language_rows(13, 1500)]
+    rows += [(5000 + i, f"hyvää päivää kiitos {i}", "fi") for i in range(language.LEAST_ROWS)] + [(6000 + i, "tak", "da") for i in range(language.LEAST_ROWS - 1)]
+    frame = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string")
+    # the sample of the whole table would hold 0.07 of its rows
+    names, _ = language.fit_text_model(frame.selectExpr("doc_id as id", "text", "lang as declared"), 20)
+    assert names == sorted([*LANGUAGES, "fi"])
+    got = {r.doc_id: r._language for r in language.identify(frame, ["doc_id"], sample_rows=20).where("doc_id >= 5000 and doc_id < 6000").collect()}
+    assert len(got) == language.LEAST_ROWS and all(v.language == "fi" and v.kept for v in got.values())
+
+
 def test_a_host_decides_where_the_text_does_not(spark):
     rows = [(i, t, name, "h-" + name, "p") for i, t, name in language_rows(6, 400)]
     rows += [(900 + k, "a", None, "h-" + name, "p") for k, name in enumerate(sorted(LANGUAGES))]
