@@ -257,19 +257,13 @@ def confirmed_forest(docs: DataFrame, clusters: DataFrame, id_col: str, text_col
 
 
 def compare_sets(ids: np.ndarray, sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between sets, among pairs within the signatures' radius."""
+    """A spanning forest of the links between sets; sizes that rule a link out aside, every pair is judged on the sets."""
     n = np.array([len(s) for s in sets])
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    whole = np.concatenate(sets)
-    sig = np.zeros((len(sets), SYMBOLS), np.uint16)
-    sig[n > 0] = signatures(whole, bounds)
-    radius = like.radius
 
     def linked(x: int, others: np.ndarray) -> np.ndarray:
         out = np.zeros(len(others), bool)
         fits = 100 * np.minimum(n[others], n[x]) >= like.percent * np.maximum(n[others], n[x])
         some = np.flatnonzero(fits)
-        some = some[(sig[others[some]] != sig[x]).sum(1) <= radius]
         for at in range(0, len(some), 512):
             part = some[at : at + 512]
             rows = others[part]

@@ -79,6 +79,13 @@ def test_near_dedup(spark, width, percent, seed):
     assert all((r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(parent, r.doc_id), find(parent, r.doc_id) == r.doc_id) for r in got)
 
 
+def test_links_are_confirmed_whatever_the_signatures(monkeypatch):
+    monkeypatch.setattr(near_dedup.Similarity, "radius", property(lambda self: 0))
+    sets = [np.arange(200, dtype=np.uint64), np.arange(10, 200, dtype=np.uint64), np.arange(5000, 5190, dtype=np.uint64)]
+    src, dst = near_dedup.compare_sets(np.array([4, 5, 6]), sets, near_dedup.Similarity(5, 95))
+    assert (src.tolist(), dst.tolist()) == ([4], [5])
+
+
 def test_oversized_keys_and_clusters_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
     test_near_dedup(spark, 3, 85, 3)
