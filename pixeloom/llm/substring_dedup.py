@@ -51,9 +51,10 @@ MOST_RUNS = 20_000
 #: Kinds of verdicts on a run: repeated whole; to be compared with its anchor's other runs; to be compared by windows.
 WHOLE, RUNS, WINDOWS = 1, 2, 3
 
-RECORD = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("size", "<u2")])
-VERDICT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("size", "<u2"), ("kind", "u1"), ("anchor", "<u8")])
-MASK = np.dtype([("doc", "<i8"), ("at", "<u4"), ("bits", "<u8")])
+#: ``row`` is a hash of a document's text: rows that share an id (or have none) are told apart by it; equal texts share verdicts.
+RECORD = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "<u2")])
+VERDICT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "<u2"), ("kind", "u1"), ("anchor", "<u8")])
+MASK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("bits", "<u8")])
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def run_ids_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def verdicts(records: np.ndarray, kind) -> np.ndarray:
     out = np.empty(len(records), VERDICT)
-    for name in ("doc", "at", "size"):
+    for name in ("doc", "row", "at", "size"):
         out[name] = records[name]
     out["kind"] = kind
     out["anchor"] = np.where(out["kind"] == WHOLE, U64(0), records["anchor"])
@@ -199,8 +200,16 @@ def dealt(rows: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]
     return [int(bucket[p[0]]) for p in parts], [pack(rows[p]) for p in parts]
 
 
-def bucket_of_doc(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(doc.astype(np.int64).view(U64)) % U64(buckets)).astype(np.int64)
+def bucket_of_doc(doc: np.ndarray, row: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(mix(doc.astype(np.int64).view(U64)) ^ row.astype(np.int64).view(U64)) % U64(buckets)).astype(np.int64)
+
+
+def places_of(found: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], slice]]:
+    """``found`` in order of documents, and each document's part of it by (doc, row)."""
+    found = found[np.lexsort((found["row"], found["doc"]))]
+    cuts = np.flatnonzero((np.diff(found["doc"]) != 0) | (np.diff(found["row"]) != 0)) + 1
+    edges = [0, *cuts.tolist(), len(found)] if len(found) else []
+    return found, {(int(found["doc"][a]), int(found["row"][a])): slice(a, b) for a, b in zip(edges, edges[1:])}
 
 
 FIRST, LATER = "a", "v"
@@ -215,26 +224,26 @@ def first_pass(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             done, rest = settle(np.concatenate(held) if held else np.zeros(0, RECORD), False)
             held.clear()
-            rest = rest[np.lexsort((rest["at"], rest["doc"]))]
+            rest = rest[np.lexsort((rest["at"], rest["row"], rest["doc"]))]
             b1, r1 = dealt(rest, (rest["anchor"] >> U64(8 * KEPT["anchor"])).astype(np.int64) % buckets)
-            b2, r2 = dealt(done, bucket_of_doc(done["doc"], buckets))
+            b2, r2 = dealt(done, bucket_of_doc(done["doc"], done["row"], buckets))
             return pa.RecordBatch.from_arrays([pa.array([FIRST] * len(b1) + [LATER] * len(b2), pa.string()), pa.array(b1 + b2, pa.int64()), pa.array(r1 + r2, pa.binary())], ["kind", "bucket", "rows"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, own = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, bounds = buffer_of(batch.column(1))
             for a, b in slices(bounds, SLICE_BYTES):
                 base = bounds[a]
                 text, start, size, anchor, whole = runs(data[base : bounds[b]], bounds[a : b + 1] - base, window)
                 out = np.empty(len(text), RECORD)
-                out["anchor"], out["run"], out["doc"], out["size"] = anchor, whole, ids[a + text], size
+                out["anchor"], out["run"], out["doc"], out["row"], out["size"] = anchor, whole, ids[a + text], own[a + text], size
                 out["at"] = start + base - bounds[a + text]
                 held.append(out)
                 if sum(map(len, held)) >= HELD:
                     yield flush()
         yield flush()
 
-    return docs.select("id", "text").mapInArrow(run, "kind string, bucket long, rows binary")
+    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(run, "kind string, bucket long, rows binary")
 
 
 def second_pass(first: DataFrame, buckets: int) -> DataFrame:
@@ -246,22 +255,24 @@ def second_pass(first: DataFrame, buckets: int) -> DataFrame:
             b, r = [same] * len(rows), rows
         else:
             done, _ = settle(unpack(rows, RECORD), True)
-            done = done[np.lexsort((done["at"], done["doc"]))]
-            b, r = dealt(done, bucket_of_doc(done["doc"], buckets))
+            done = done[np.lexsort((done["at"], done["row"], done["doc"]))]
+            b, r = dealt(done, bucket_of_doc(done["doc"], done["row"], buckets))
         return pa.table({"kind": pa.array([LATER] * len(b), pa.string()), "bucket": pa.array(b, pa.int64()), "rows": pa.array(r, pa.binary())})
 
     return first.groupBy("kind", "bucket").applyInArrow(run, "kind string, bucket long, rows binary")
 
 
-def pack_texts(ids: np.ndarray, texts: list[bytes]) -> bytes:
-    head = np.array([len(ids)], "<i8").tobytes() + ids.astype("<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
+def pack_texts(ids: np.ndarray, own: np.ndarray, texts: list[bytes]) -> bytes:
+    head = np.array([len(ids)], "<i8").tobytes() + ids.astype("<i8").tobytes() + own.astype("<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
     return squeeze(head + b"".join(texts))
 
 
-def unpack_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def unpack_texts(blob: bytes) -> tuple[list[tuple[int, int]], np.ndarray, bytes]:
+    """(id, row) of each document, the texts' bounds, their bytes."""
     raw = restore(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return np.frombuffer(raw, "<i8", n, 8), np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n))]), raw[8 + 16 * n :]
+    ids, own, sizes = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(3))
+    return list(zip(ids.tolist(), own.tolist(), strict=True)), np.concatenate([[0], np.cumsum(sizes)]), raw[8 + 24 * n :]
 
 
 def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
@@ -269,15 +280,15 @@ def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, own = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, bounds = buffer_of(batch.column(1))
             raw = data.tobytes()
-            bucket = bucket_of_doc(ids, buckets)
+            bucket = bucket_of_doc(ids, own, buckets)
             order = np.argsort(bucket, kind="stable")
             parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-            yield pa.RecordBatch.from_arrays([pa.array(["t"] * len(parts), pa.string()), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([pack_texts(ids[p], [raw[bounds[i] : bounds[i + 1]] for i in p]) for p in parts], pa.binary())], ["kind", "bucket", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(["t"] * len(parts), pa.string()), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([pack_texts(ids[p], own[p], [raw[bounds[i] : bounds[i + 1]] for i in p]) for p in parts], pa.binary())], ["kind", "bucket", "rows"])
 
-    return docs.select("id", "text").mapInArrow(run, "kind string, bucket long, rows binary")
+    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(run, "kind string, bucket long, rows binary")
 
 
 def third_pass(texts: DataFrame, judged: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -286,18 +297,17 @@ def third_pass(texts: DataFrame, judged: DataFrame, window: int, buckets: int) -
     def run(table: pa.Table) -> pa.Table:
         kinds, rows = table.column("kind").to_pylist(), table.column("rows").to_pylist()
         found = unpack([r for k, r in zip(kinds, rows, strict=True) if k == LATER], VERDICT)
-        found = found[found["kind"] != WHOLE]
-        found = found[np.argsort(found["doc"], kind="stable")]
-        bucket, doc, at, strings, anchors = [], [], [], [], []
+        found, of = places_of(found[found["kind"] != WHOLE])
+        doc, own_row, at, strings, anchors = [], [], [], [], []
         for blob in (r for k, r in zip(kinds, rows, strict=True) if k == "t"):
             ids, bounds, raw = unpack_texts(blob)
-            lo, hi = np.searchsorted(found["doc"], ids), np.searchsorted(found["doc"], ids, "right")
-            for i in np.flatnonzero(hi > lo):
-                for v in found[lo[i] : hi[i]]:
+            for i, key in enumerate(ids):
+                for v in found[of.get(key, slice(0))]:
                     start, size = int(bounds[i]) + int(v["at"]), int(v["size"])
                     if v["kind"] == RUNS:
                         strings.append(raw[start : start + size + window - 1])
                         doc.append(v["doc"])
+                        own_row.append(v["row"])
                         at.append(v["at"])
                         anchors.append(v["anchor"])
                     else:
@@ -305,16 +315,17 @@ def third_pass(texts: DataFrame, judged: DataFrame, window: int, buckets: int) -
                             one = raw[start + k : start + k + window]
                             strings.append(one)
                             doc.append(v["doc"])
+                            own_row.append(v["row"])
                             at.append(v["at"] + k)
                             anchors.append(int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little"))
         bucket = (np.array(anchors, U64) % U64(buckets)).astype(np.int64)
-        doc, at = np.array(doc, np.int64), np.array(at, np.int64)
+        doc, own_row, at = (np.array(x, np.int64) for x in (doc, own_row, at))
         order = np.argsort(bucket, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
         packed = []
         for p in parts:
             own = [strings[x] for x in p]
-            head = np.array([len(p)], "<i8").tobytes() + doc[p].tobytes() + at[p].tobytes() + np.array([len(x) for x in own], "<i8").tobytes()
+            head = np.array([len(p)], "<i8").tobytes() + doc[p].tobytes() + own_row[p].tobytes() + at[p].tobytes() + np.array([len(x) for x in own], "<i8").tobytes()
             packed.append(squeeze(head + b"".join(own)))
         return pa.table({"bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), "rows": pa.array(packed, pa.binary())})
 
@@ -325,27 +336,28 @@ def last_pass(strings: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, rows): for each string, the windows of it that also start in a smaller document, as bits."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, places, sizes, raws = [], [], [], []
+        docs, own_rows, places, sizes, raws = [], [], [], [], []
         for blob in table.column("rows").to_pylist():
             raw = restore(blob)
             n = int(np.frombuffer(raw, "<i8", 1)[0])
-            doc, at, size = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(3))
+            doc, row, at, size = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(4))
             docs.append(doc)
+            own_rows.append(row)
             places.append(at)
             sizes.append(size)
-            raws.append(raw[8 + 24 * n :])
-        doc, at, size, data = np.concatenate(docs), np.concatenate(places), np.concatenate(sizes), np.frombuffer(b"".join(raws), np.uint8)
+            raws.append(raw[8 + 32 * n :])
+        doc, row, at, size, data = np.concatenate(docs), np.concatenate(own_rows), np.concatenate(places), np.concatenate(sizes), np.frombuffer(b"".join(raws), np.uint8)
         begin = np.cumsum(size) - size
         count = size - window + 1
         string = np.repeat(np.arange(len(doc)), count)
         offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
         repeated = repeated_windows(data, begin[string] + offset, doc[string], window)
         out = np.zeros(len(doc), MASK)
-        out["doc"], out["at"] = doc, at
+        out["doc"], out["row"], out["at"] = doc, row, at
         np.bitwise_or.at(out["bits"], string[repeated], U64(1) << offset[repeated].astype(U64))
         out = out[out["bits"] > 0]
-        out = out[np.lexsort((out["at"], out["doc"]))]
-        b, r = dealt(out, bucket_of_doc(out["doc"], buckets))
+        out = out[np.lexsort((out["at"], out["row"], out["doc"]))]
+        b, r = dealt(out, bucket_of_doc(out["doc"], out["row"], buckets))
         return pa.table({"bucket": pa.array(b, pa.int64()), "rows": pa.array(r, pa.binary())})
 
     return strings.groupBy("bucket").applyInArrow(run, "bucket long, rows binary")
@@ -391,16 +403,15 @@ def remove(texts: DataFrame, judged: DataFrame, masks: DataFrame, window: int) -
     def run(table: pa.Table) -> pa.Table:
         kinds, rows = table.column("kind").to_pylist(), table.column("rows").to_pylist()
         found = unpack([r for k, r in zip(kinds, rows, strict=True) if k == LATER], VERDICT)
-        found = found[found["kind"] == WHOLE]
+        found, of = places_of(found[found["kind"] == WHOLE])
         bits = unpack([r for k, r in zip(kinds, rows, strict=True) if k == "m"], MASK)
-        found, bits = (x[np.argsort(x["doc"], kind="stable")] for x in (found, bits))
+        bits, bits_of = places_of(bits)
         out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
         for blob in (r for k, r in zip(kinds, rows, strict=True) if k == "t"):
             ids, bounds, raw = unpack_texts(blob)
-            for i, doc in enumerate(ids.tolist()):
+            for i, key in enumerate(ids):
                 text = raw[bounds[i] : bounds[i + 1]]
-                v = found[np.searchsorted(found["doc"], doc) : np.searchsorted(found["doc"], doc, "right")]
-                m = bits[np.searchsorted(bits["doc"], doc) : np.searchsorted(bits["doc"], doc, "right")]
+                v, m = found[of.get(key, slice(0))], bits[bits_of.get(key, slice(0))]
                 removed = spans = 0
                 if len(v) or len(m):
                     step = np.zeros(len(text) + 1, np.int64)
@@ -415,7 +426,7 @@ def remove(texts: DataFrame, judged: DataFrame, masks: DataFrame, window: int) -
                     removed = int(gone.sum())
                     spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                     text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out["id"].append(doc)
+                out["id"].append(key[0])
                 out["n_bytes"].append(int(bounds[i + 1] - bounds[i]))
                 out["n_removed"].append(removed)
                 out["n_spans"].append(spans)
@@ -431,9 +442,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
 
     A byte is removed when it is covered by a ``window``-byte string that also starts in a document with a smaller
     id; strings never cross documents and are judged on the input.  Null and short texts keep all they have.  Rows
-    that repeat an id are one document in that sense: their strings aren't repeated by each other, but a byte removed
-    from one is removed at the same place in the others, so ids should be unique.  An empty table gives an empty
-    result; other columns of any name are ignored.
+    that repeat an id, or have none, are judged each by its own text; their strings aren't repeated by each other, as
+    neither id is smaller, and a null id comes before all others.  An empty table gives an empty result; other columns
+    of any name are ignored.
     """
     if not ANCHOR < window <= ANCHOR + 63:
         raise ValueError(f"window must be in {ANCHOR + 1}..{ANCHOR + 63}")

@@ -182,6 +182,24 @@ def test_embedding_dedup(spark, monkeypatch, block, sub):
     assert got == {i: (links[i], find(parent, i), find(parent, i) == i) for i in parent}
 
 
+def test_rows_that_share_an_id_are_cut_by_their_own_text(spark):
+    rng = random.Random(4)
+    a, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(4))
+    # a repeated id and null ids with texts of different lengths, the longer sharing parts with documents before and behind
+    rows = [(None, d + a[:80]), (None, ""), (None, "short"), (None, c + d), (1, a), (5, b[:90] + a + b[90:]), (5, "tiny"), (5, c[:60]), (5, c[20:140] + b), (9, b + "x" + c), (9, b)]
+    want = []
+    for i, t in rows:
+        less = {u[k : k + 50] for j, u in rows if (j is not None, j or 0) < (i is not None, i or 0) for k in range(len(u) - 49)}
+        gone = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if t[k : k + 50] in less:
+                gone[k : k + 50] = b"\1" * 50
+        kept = "".join(x for x, g in zip(t, gone, strict=True) if not g)
+        want.append((i, len(t), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_null_ids_are_no_trouble(spark):
     rows = [(None, "a b c d e f g " * 9), (None, None), (3, "a b c d e f g " * 9)]
     frame = table(spark, rows)
