@@ -12,8 +12,8 @@ table.
 A chunk of text that starts anywhere is a map from the entry state to the exit
 state and a count: ``head`` (bytes before the first cut, which finish the unit
 that the entry state holds), ``count`` (whole units) and ``tail`` (the unit left
-open).  These maps compose associatively, and a parallel prefix scan composes
-the chunks of a text.
+open).  These maps compose associatively, and a tree of them gives a text's total
+in one task; ``scan`` gives the prefixes too, and no query asks for those.
 """
 
 from __future__ import annotations
