@@ -13,18 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixeloom.config import Config
-from pixeloom.operators.spatial import image_shapes, spatial_distance, spatial_weight
+from pixeloom.operators.spatial import spatial_distance, spatial_weight
+from pixeloom.sources.rasters import is_sampled
 
 #: Clusters up to which their buckets are broadcast; beyond, they are joined by shuffle.
 BROADCAST_CLUSTERS = 200_000
 
 
-def with_shapes(pixels: DataFrame, clusters: int) -> DataFrame:
-    """Pixels with their image's search size ``s`` and no assignment yet (k and min_dist null)."""
-    shapes = image_shapes(pixels, clusters).select("image_id", "s")
-    return pixels.join(shapes, "image_id").withColumns({"k": F.lit(None).cast("int"), "min_dist": F.lit(None).cast("int")})
-
-
 def cluster_buckets(clusters: DataFrame) -> DataFrame:
     """(image_id, by, bx, near): the clusters whose windows touch each bucket of side 2s + 1."""
     side, s = 2 * F.col("s") + 1, F.col("s")
@@ -55,7 +50,7 @@ def assign(state: DataFrame, clusters: DataFrame, config: Config, start: int = 0
     if broadcast is None:
         broadcast = clusters.limit(BROADCAST_CLUSTERS + 1).count() <= BROADCAST_CLUSTERS
     buckets = F.broadcast(buckets) if broadcast else buckets
-    sampled = F.lit(True) if stride == 1 else F.col("y") % stride == start
+    sampled = is_sampled(start, stride)
     side = 2 * F.col("s") + 1
     names = state.columns
     dealt = state.withColumns({"by": F.floor(F.col("y") / side).cast("int"), "bx": F.floor(F.col("x") / side).cast("int")})

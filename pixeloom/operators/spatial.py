@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from pixeloom.config import MANHATTAN, Config
 
 
-def _float(value: float) -> Column:
-    return F.lit(float(value)).cast("float")
+def _float(value: float | Column) -> Column:
+    return (value if isinstance(value, Column) else F.lit(float(value))).cast("float")
 
 
-def search_size(width: Column, height: Column, clusters: int) -> Column:
+def search_size(width: Column, height: Column, clusters: int | Column) -> Column:
     """S: half the side of a cluster's window; the root of the pixels per cluster, cut to an integer."""
-    area = (width * height).cast("float")
+    area = (width.cast("long") * height).cast("float")
     return F.sqrt((area / _float(clusters)).cast("float")).cast("float").cast("int")
 
 
@@ -41,4 +41,4 @@ def spatial_lut(spark: SparkSession, size: int, config: Config) -> DataFrame:
 def image_shapes(pixels: DataFrame, clusters: int) -> DataFrame:
     """(image_id, w, h, s) of each image."""
     shapes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    return shapes.withColumn("s", search_size(F.col("w").cast("long"), F.col("h").cast("long"), clusters))
+    return shapes.withColumn("s", search_size(F.col("w"), F.col("h"), clusters))

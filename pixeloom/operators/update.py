@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixeloom.sources.rasters import is_sampled
+
 
 def rounded_mean(total: Column, n: Column) -> Column:
     """(total + n / 2) / n in integers, for values that aren't negative."""
@@ -16,8 +18,7 @@ def update(state: DataFrame, clusters: DataFrame, stride: int = 1, start: int =
 
     A cluster without such pixels stays as it is, its number of members too.  One shuffle, of partial sums.
     """
-    rows = state.where(F.col("k").isNotNull())
-    rows = rows if stride == 1 else rows.where(F.col("y") % stride == start)
+    rows = state.where(F.col("k").isNotNull() & is_sampled(start, stride))
     sums = rows.groupBy("image_id", "k").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in ("y", "x", "l", "a", "b")])
     met = clusters.join(sums, ["image_id", "k"], "left")
     mean = lambda c, old: F.coalesce(rounded_mean(F.col(f"sum_{c}"), F.col("n")), F.col(old)).alias(old)

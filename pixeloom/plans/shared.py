@@ -1,7 +1,8 @@
 """Tables that cut lineage, in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is
-unset (local sessions and tests) a temporary folder of this machine serves.
+``spark.checkpoint.dir`` names that folder on a cluster; there it must be set.
+Only a session whose tasks all run in the driver's process (tests) may leave it
+unset, and uses a temporary folder of its own.
 A written table survives lost executors, unlike a cached or locally
 checkpointed one.
 """
@@ -21,9 +22,15 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or a folder made for it where it is unset."""
+    """The session's ``spark.checkpoint.dir``, or in a local session without one a folder made for it.
+
+    RuntimeError on a cluster without one: its machines don't see each other's temporary folders.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="pixeloom-"))
             atexit.register(shutil.rmtree, _own[0], True)

@@ -107,11 +107,11 @@ def scalar_nonlinear_srgb(spark, d):
     return spark.range(256).select(F.col("id").cast("int").alias("i"), F.round(color.nonlinear_srgb(F.col("id")).cast("double") * 1000000).cast("long").alias("micro"))
 
 
-@query(O.with_(O.LABF, select="SELECT i, (i * 3 % 7)::INT AS dummy, v FROM labf WHERE i % 16 = 0"))
+@query(O.with_(O.LABF, select="SELECT i, (i * 3 % 7)::INT AS dummy, v FROM labf"))
 def scalar_nonlinear_lab(spark, d):
     t = (F.col("id").cast("float") / F.lit(8192)).cast("float")
     v = F.floor((color.nonlinear_lab(t) * F.lit(8192).cast("float")).cast("double") + 0.5).cast("int")
-    return spark.range(0, 8193, 16).select(F.col("id").cast("int").alias("i"), (F.col("id") * 3 % 7).cast("int").alias("dummy"), v.alias("v"))
+    return spark.range(8193).select(F.col("id").cast("int").alias("i"), (F.col("id") * 3 % 7).cast("int").alias("dummy"), v.alias("v"))
 
 
 @query(O.with_(O.EVENTS, O.PIXELS, select="SELECT * FROM px"))
@@ -127,8 +127,7 @@ def lab_convert_grey_histogram(spark, d):
 @query("SELECT w::INT AS w, h::INT AS h, k::INT AS k, floor(CAST(sqrt(CAST(w * h AS FLOAT) / CAST(k AS FLOAT)) AS FLOAT))::INT AS s FROM (VALUES (4096, 2160, 2000), (64, 48, 24), (10, 10, 7), (96, 64, 40), (17, 5, 6)) t(w, h, k)")
 def search_size(spark, d):
     rows = spark.createDataFrame([(4096, 2160, 2000), (64, 48, 24), (10, 10, 7), (96, 64, 40), (17, 5, 6)], "w int, h int, k int")
-    area = (F.col("w").cast("long") * F.col("h")).cast("float")
-    return rows.withColumn("s", F.sqrt((area / F.col("k").cast("float")).cast("float")).cast("float").cast("int"))
+    return rows.withColumn("s", spatial.search_size(F.col("w"), F.col("h"), F.col("k")))
 
 
 _LUT = "SELECT i::INT AS i, j::INT AS j, floor((CAST(1 AS FLOAT) / (CAST(29 AS FLOAT) / CAST(10 AS FLOAT)) * CAST(2 AS FLOAT)) * {0})::INT AS d FROM range(59) t(i), range(59) u(j)"
@@ -178,7 +177,8 @@ def raster_row(spark, d):
 def linear_index(spark, d):
     width, _ = R.event_shape(spark.read.parquet(f"{d}/events.parquet"))
     at = events_rgb(spark, d).select("y", "x", R.index_of(F.col("y"), F.col("x"), F.lit(width)).alias("i"))
-    return at.select("y", "x", "i", F.floor(F.col("i") / width).cast("int").alias("back_y"), (F.col("i") % width).cast("int").alias("back_x"))
+    y, x = R.place_of(F.col("i"), F.lit(width))
+    return at.select("y", "x", "i", y.alias("back_y"), x.alias("back_x"))
 
 
 @query(O.with_(O.EVENTS, O.PIXELS, select="SELECT * FROM px WHERE y = x"))
@@ -189,7 +189,7 @@ def pixel_lookup(spark, d):
 
 @query(O.with_(O.EVENTS, O.PIXELS, select="SELECT y, x, l FROM px WHERE y % 3 = 1"))
 def sampled_rows(spark, d):
-    return events(spark, d).where(F.col("y") % 3 == 1).select("y", "x", "l")
+    return R.sampled_rows(events(spark, d), 1, 3).select("y", "x", "l")
 
 
 def first_assignment(spark: SparkSession, d: str, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -329,3 +329,106 @@ def segment_many_images_distributed(spark, d):
 def segment_synthetic(spark, d):
     px = color.to_lab(R.synthetic(spark, 64, 48))
     return segment.segment(px, Config(num_of_clusters=24, max_iterations=3, subsample_stride=3, distance_metric=MANHATTAN)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(O.with_(O.EVENTS, select="SELECT * FROM rgb WHERE y = 5 AND x BETWEEN 3 AND 19"))
+def row_part_exclusive(spark, d):
+    return R.row_part(events_rgb(spark, d), 5, 3, 20, with_right=False)
+
+
+@query(O.with_(O.EVENTS, select="SELECT * FROM rgb"))
+def tile_to_raster(spark, d):
+    """Places inside tiles and back to places of the whole raster."""
+    tiles = R.tiled(events_rgb(spark, d), 9, 7).drop("y", "x")
+    return R.global_place(tiles, 9, 7).select("image_id", "y", "x", "r", "g", "b")
+
+
+@query(O.with_(O.EVENTS, O.PIXELS, select="SELECT * FROM px"))
+def raster_lab_table(spark, d):
+    """Pixels that are Lab already, as a table with other columns and types."""
+    table = events(spark, d).select(*[F.col(c).cast("long") for c in ("y", "x", "l", "a", "b")], F.lit("x").alias("more"))
+    return R.from_lab_table(table)
+
+
+@query(O.with_(O.TILES, select="SELECT image_id + 5 AS image_id, y, x, r, g, b FROM rgb"))
+def raster_rgb_table(spark, d):
+    tiles = R.from_event_tiles(spark.read.parquet(f"{d}/events.parquet"))
+    return R.from_rgb_table(tiles.withColumn("number", F.col("image_id") + 5).drop("image_id"), "number")
+
+
+@query("SELECT 0::BIGINT AS image_id, (p // 3)::INT AS y, (p % 3)::INT AS x, (p * 4)::INT AS l, (p * 4 + 1)::INT AS a, (p * 4 + 2)::INT AS b FROM range(6) t(p)")
+def raster_lab_iterator(spark, d):
+    return R.from_iterator(spark, iter(range(24)), 3, 2)
+
+
+@query("SELECT * FROM (VALUES ('num_of_clusters', 2000.0::DOUBLE), ('max_iterations', 10.0), ('compactness', 10.0), ('min_size_factor', 0.25), ('subsample_stride', 3.0)) t(name, value)")
+def config_defaults(spark, d):
+    c = Config()
+    return spark.createDataFrame([(n, float(getattr(c, n))) for n in ("num_of_clusters", "max_iterations", "compactness", "min_size_factor", "subsample_stride")], "name string, value double")
+
+
+@query(O.with_(O.synthetic(3, 3), O.PIXELS, O.shapes(7), O.places(7), O.CLUSTERS0, select="SELECT image_id, k, cx, cy, l, a, b, num_members FROM c0"))
+def seed_grid_filled(spark, d):
+    """A grid with fewer cells than seeds: the rest stands in the middle."""
+    return seeds.seed_grid(color.to_lab(R.synthetic(spark, 3, 3)), 7).drop("w", "h", "s")
+
+
+UNCLIPPED = Config(num_of_clusters=40, subsample_stride=1, max_iterations=0, top_clip=False)
+
+
+@query(O.with_(*BASE, O.assign(0, 0, UNCLIPPED, 0, 1), select="SELECT image_id, y, x, k, min_dist FROM s1"))
+def assign_without_top_clip(spark, d):
+    state, clusters = first_assignment(spark, d, UNCLIPPED)
+    return assign(state, clusters, UNCLIPPED, 0, 1).select("image_id", "y", "x", "k", "min_dist")
+
+
+CLOSED = Config(num_of_clusters=40, subsample_stride=3, max_iterations=2, final_update=True)
+
+
+def _closed() -> str:
+    steps, n, m = O.loop(CLOSED)
+    return O.with_(*BASE, *steps, O.update(n, m, 0, 1), select=f"SELECT image_id, k, cx, cy, l, a, b, num_members FROM c{m + 1}")
+
+
+@query(_closed())
+def clusters_final_update(spark, d):
+    """Cluster statistics taken once more after the last assignment."""
+    return segment.iterate(events(spark, d), CLOSED)[1].drop("w", "h", "s")
+
+
+#: Starting clusters of the caller's own: every fifth pixel of the diagonal, numbered along it.
+_OWN = "c0 AS MATERIALIZED (SELECT px.image_id, (px.y // 5)::INT AS k, px.x AS cx, px.y AS cy, l, a, b, 0::BIGINT AS num_members, w, h, s FROM px JOIN shapes USING (image_id) WHERE px.y = px.x AND px.y % 5 = 2 AND px.y < 100)"
+
+
+def _own_start() -> str:
+    steps, n, _ = O.loop(TWICE)
+    return O.with_(O.EVENTS, O.PIXELS, O.shapes(40), _OWN, O.STATE0, *steps, select=f"SELECT image_id, y, x, k, min_dist FROM s{n}")
+
+
+@query(_own_start())
+def iterate_own_clusters(spark, d):
+    px = events(spark, d)
+    own = px.where((F.col("y") == F.col("x")) & (F.col("y") % 5 == 2) & (F.col("y") < 100)).select("image_id", F.expr("cast(y div 5 as int)").alias("k"), F.col("x").alias("cx"), F.col("y").alias("cy"), "l", "a", "b", F.lit(0).cast("long").alias("num_members"))
+    return segment.iterate(px, TWICE, own)[0].select("image_id", "y", "x", "k", "min_dist")
+
+
+@query(O.with_(*CONNECTED, select="SELECT image_id, (sum(label) // count(label))::BIGINT AS average FROM labels GROUP BY ALL"))
+def label_average(spark, d):
+    return R.average(cc.enforce_connectivity(assigned(spark, d), 40, 0.25), "label")
+
+
+@query(O.with_(*CONNECTED, select="SELECT image_id, y, x, label FROM labels"))
+def label_table_sink(spark, d):
+    """Labels written as a table with a folder for each image, and read again."""
+    path = shared_path(spark, "labels")
+    R.write_labels(cc.enforce_connectivity(assigned(spark, d), 40, 0.25), path)
+    return spark.read.parquet(path).select(F.col("image_id").cast("long"), "y", "x", "label")
+
+
+@query("SELECT (i // 40)::INT AS y, (i % 40)::INT AS x, (i % 256)::INT AS grey FROM range(1200) t(i)")
+def label_image_sink(spark, d):
+    """Labels written as a grey PNG of 8 bits (modulo 256) and read again by the image source."""
+    path = shared_path(spark, "png") + "/labels.png"
+    labels = R.filled(spark, 0, 40, 30).select(F.lit(0).cast("long").alias("image_id"), "y", "x", R.index_of(F.col("y"), F.col("x"), F.lit(40)).cast("int").alias("label"))
+    R.write_png(labels, path, 0, ("label",))
+    return R.from_image_files(spark, path).select("y", "x", F.col("r").alias("grey"))

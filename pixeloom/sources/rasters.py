@@ -148,9 +148,23 @@ def row(raster: DataFrame, y: int) -> DataFrame:
     return raster.where(F.col("y") == y)
 
 
-def row_part(raster: DataFrame, y: int, left: int, right: int) -> DataFrame:
-    """Pixels left..right of a row, both included."""
-    return raster.where((F.col("y") == y) & F.col("x").between(left, right))
+def row_part(raster: DataFrame, y: int, left: int, right: int, with_right: bool = True) -> DataFrame:
+    """Pixels left..right of a row; the left one is included, the right one unless ``with_right`` is False."""
+    return raster.where((F.col("y") == y) & F.col("x").between(left, right if with_right else right - 1))
+
+
+def is_sampled(start: int, stride: int) -> Column:
+    """Whether a pixel's row is one of start, start + stride, ..."""
+    return F.lit(True) if stride == 1 else F.col("y") % stride == start
+
+
+def sampled_rows(raster: DataFrame, start: int, stride: int) -> DataFrame:
+    return raster.where(is_sampled(start, stride))
+
+
+def average(raster: DataFrame, column: str) -> DataFrame:
+    """(image_id, average): the mean of a column's values, cut to an integer."""
+    return raster.groupBy("image_id").agg(F.sum(F.col(column).cast("long")).alias("total"), F.count(column).alias("n")).select("image_id", F.expr("total div n").cast("long").alias("average"))
 
 
 def pixels_at(raster: DataFrame, places: DataFrame) -> DataFrame:
@@ -159,7 +173,17 @@ def pixels_at(raster: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def index_of(y: Column, x: Column, width: Column) -> Column:
-    return (y * width + x).cast("long")
+    return (y.cast("long") * width + x).cast("long")
+
+
+def place_of(index: Column, width: Column) -> tuple[Column, Column]:
+    """Row and column of a linear index."""
+    return F.floor(index / width).cast("int"), (index % width).cast("int")
+
+
+def global_place(tiles: DataFrame, tile_width: int, tile_height: int) -> DataFrame:
+    """Rows with tile_y, tile_x, local_y, local_x and their places in the whole raster: y, x."""
+    return tiles.withColumns({"y": (F.col("tile_y") * tile_height + F.col("local_y")).cast("int"), "x": (F.col("tile_x") * tile_width + F.col("local_x")).cast("int")})
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

@@ -202,3 +202,33 @@ def test_lab_image_file_round_trip(spark, tmp_path):
     got = rasters.from_image_files(spark, f"file://{tmp_path}").select("y", "x", "r", "g", "b")
     want = raster.select("y", "x", "r", "g", "b")
     assert got.count() == 63 and got.exceptAll(want).isEmpty()
+
+
+def test_labels_as_a_png_of_16_bits(spark, tmp_path):
+    import struct
+    import zlib
+
+    from pixeloom.sources import rasters
+
+    labels = rasters.filled(spark, 0, 5, 2).selectExpr("0L as image_id", "y", "x", "cast((y * 5 + x) * 50 as int) as label")
+    path = str(tmp_path / "labels.png")
+    rasters.write_png(labels, path, 0, ("label",), maximum=450)
+    data = open(path, "rb").read()
+    assert struct.unpack(">IIBB", data[16:26]) == (5, 2, 16, 0)
+    at = data.index(b"IDAT")
+    raw = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
+    values = [v for k in range(2) for v in struct.unpack(">5H", raw[k * 11 + 1 : k * 11 + 11])]
+    assert values == [int(i * 50 / 450 * 65535) for i in range(10)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from pixeloom.plans import shared
+
+    class Elsewhere:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            shared.shared_folder(Elsewhere)
+    assert shared.shared_folder(spark).startswith("file://")
