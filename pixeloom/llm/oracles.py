@@ -32,10 +32,13 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#
                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) v(h, p, verdict)),
 fit AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p) AS k
-        FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND (starts_with(path, p) OR p = '/')),
-general AS (SELECT page_id, CASE WHEN regexp_matches(host || path, '^[^/]*/(?:.*/)?login(?:/|$|\.)') THEN 'login pages'
-                                 WHEN regexp_matches(host || path, '^[^/]*/(?:.*/)?cart(?:/|$|\.)') THEN 'shopping carts' END AS g FROM u)
-SELECT u.page_id, u.host, u.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM u LEFT JOIN fit ON fit.page_id = u.page_id AND k = 1
+        FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+general AS (SELECT page_id, CASE WHEN regexp_matches(host || path, '\.(?:zip|gz|exe|mp4|jpg|png)\z') THEN 'archives and media'
+                                 WHEN regexp_matches(host || path, '^(?:[^/]*\.)?ads\.') THEN 'advertising hosts'
+                                 WHEN regexp_matches(host || path, '(?s)^[^/]*/(?:.*/)?cart(?:/|\.|\z)') THEN 'shopping carts'
+                                 WHEN regexp_matches(host || path, '(?s)^[^/]*/(?:.*/)?login(?:/|\.|\z)') THEN 'login pages' END AS g FROM u)
+SELECT u.page_id, u.host, u.path, fit.rule, CASE WHEN fit.rule IS NULL THEN g END AS method_rule, coalesce(fit.verdict, CASE WHEN g IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fit ON fit.page_id IS NOT DISTINCT FROM u.page_id AND k = 1 LEFT JOIN general ON general.page_id IS NOT DISTINCT FROM u.page_id
 """
 
 OP10 = r"""

@@ -20,29 +20,35 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is reported; ``weight`` decides between several that fit (largest, then smallest name)."""
+    """``name`` is reported; ``weight`` decides between several that fit (largest, then smallest name).
+
+    ``listed`` rules are those of a caller's host and path list, the others are the method's own general ones.
+    """
 
     name: str
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
     weight: int
+    listed: bool = True
 
 
 def host_rule(verdict: str, host: str, path: str = "/") -> Rule:
     """Fits ``host`` and its subdomains where the URL's path starts with ``path``; the longest such rule wins.
 
+    An empty path starts with no rule's ``/``, so ``http://example.org`` fits none of its host's rules.
+
     Tokens: the host's labels, and the path's parts that are closed by a slash (the last part may go on in the URL).
     """
     parts = tuple(f"p:{p}" for p in path.split("/")[1:-1] if p)
     labels = tuple(f"h:{p}" for p in host.split(".") if p)
-    fits = rf"^(?:[^/]*\.)?{re.escape(host)}(?:/|$)" if path in ("", "/") else rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}"
+    fits = rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}"
     return Rule(host + path, verdict, fits, labels + parts, (1 << 20) + len(host + path))
 
 
 def text_rule(verdict: str, name: str, pattern: str, *tokens: str) -> Rule:
     """A rule of the general list, below all host rules; ``tokens`` are literals that the pattern can't match without."""
-    return Rule(name, verdict, pattern, tokens, len(name))
+    return Rule(name, verdict, pattern, tokens, len(name), False)
 
 
 #: The host rules of the contract (fixed values).
@@ -55,10 +61,10 @@ HOST_RULES = (
 )
 #: The general list behind them: pages that are not prose (fixed values).
 TEXT_RULES = (
-    text_rule("block", "login pages", r"^[^/]*/(?:.*/)?login(?:/|$|\.)", "p:login"),
-    text_rule("block", "shopping carts", r"^[^/]*/(?:.*/)?cart(?:/|$|\.)", "p:cart"),
+    text_rule("block", "login pages", r"(?s)^[^/]*/(?:.*/)?login(?:/|\.|\z)", "p:login"),
+    text_rule("block", "shopping carts", r"(?s)^[^/]*/(?:.*/)?cart(?:/|\.|\z)", "p:cart"),
     text_rule("block", "advertising hosts", r"^(?:[^/]*\.)?ads\.", "h:ads"),
-    text_rule("block", "archives and media", r"\.(?:zip|gz|exe|mp4|jpg|png)$"),
+    text_rule("block", "archives and media", r"\.(?:zip|gz|exe|mp4|jpg|png)\z"),
 )
 
 
@@ -81,9 +87,10 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: Iterable[Rule] = HOST_RULES + TEXT_RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """One row per input row: id, host, path, rule, verdict.
+    """One row per input row: id, host, path, rule, method_rule, verdict.
 
-    ``rule`` and ``verdict`` come from the heaviest rule that fits, else null and ``default``.  A null URL, or one
+    ``verdict`` comes from the heaviest rule that fits, else it is ``default``.  That rule's name is in ``rule`` where it
+    is a listed one and in ``method_rule`` where it is one of the general list; the other, or both, are null.  A null URL, or one
     without ``://``, has empty host and path and is judged by the rules on those.  Repeated rows and ids each get
     their row; an empty table or rule list is fine; other columns of any name are ignored.
     """
@@ -93,13 +100,14 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = HOST_RULES + TEXT_RULES, id_
     urls = urls.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # the rule list comes with the call, so its size is that of the call's argument, not of the data
     filed = spark.createDataFrame([(i, t) for i, r in enumerate(rules) for t in r.tokens or ("",)] or [(-1, "-")], "rule int, token string")
-    bodies = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.weight) for i, r in enumerate(rules)] or [(-1, "", "", "", 0)], "rule int, name string, verdict string, pattern string, weight int")
+    bodies = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.weight, r.listed) for i, r in enumerate(rules)] or [(-1, "", "", "", 0, True)], "rule int, name string, verdict string, pattern string, weight int, listed boolean")
     distinct = urls.groupBy("host", "path").agg(F.lit(1).alias("one")).select("host", "path", url_tokens(F.col("host"), F.col("path")).alias("tokens"))
     seen = distinct.select(F.explode("tokens").alias("token")).join(F.broadcast(filed.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     ranked = filed.join(F.broadcast(seen), "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
-    index = ranked.join(F.broadcast(bodies), "rule").select(F.col("rarest.token").alias("token"), "name", "verdict", "pattern", "weight")
+    index = ranked.join(F.broadcast(bodies), "rule").select(F.col("rarest.token").alias("token"), "name", "verdict", "pattern", "weight", "listed")
     candidates = distinct.select("host", "path", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
     fits = candidates.where(F.expr("concat(host, path) rlike pattern"))
-    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.col("weight")).alias("less"), "name", "verdict")).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.col("weight")).alias("less"), "name", "verdict", "listed")).alias("best"))
     named = urls.join(best, ["host", "path"], "left")
-    return named.select(F.col("id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    listed = F.col("best.listed")
+    return named.select(F.col("id").alias(id_col), "host", "path", F.when(listed, F.col("best.name")).alias("rule"), F.when(~listed, F.col("best.name")).alias("method_rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
