@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixeloom.llm.bytekit import buffer_of
-from pixeloom.llm.token_count import slices
+from pixeloom.llm.bytekit import slices
 
 #: Classes of bytes: 0 for what is no letter, 1-26 for a-z and A-Z, 27-63 for bytes of other letters.
 CLASSES = 64

@@ -10,9 +10,10 @@ variants with that many symbols left out.
 
 Rows of one index key are compared inside a task, which returns a spanning
 forest of the pairs within the radius, never the pairs.  Its components are
-candidate clusters; their full sets are then compared, again inside tasks and
-again returning a forest.  Oversized keys and clusters are cut into blocks, and
-each two blocks are a task of their own, so every pair still meets.
+candidate clusters.  Their texts are then brought together and their full sets
+compared, shingles by the words themselves and not by hashes, again inside tasks
+and again returning a forest.  Oversized keys and clusters are cut into blocks,
+and each two blocks are a task of their own, so every pair still meets.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeloom.llm.bytekit import BASE, U64, buffer_of, mix, run_ids, shingle_sets
-from pixeloom.llm.token_count import slices
+from pixeloom.llm.bytekit import BASE, U64, buffer_of, mix, run_ids, shingle_sets, slices, words
 from pixeloom.operators.graph import connected_components
 from pixeloom.plans.shared import written
 
@@ -38,10 +38,10 @@ SYMBOLS, BITS, CHUNKS = 64, 16, 16
 MISS = 5e-5
 #: Rows of one key or cluster that one task compares; larger ones are cut into blocks of that size.
 BLOCK = 8192
-#: A cluster is cut into blocks of so many rows, but into no more than SPREAD unless those exceed BLOCK rows.
-CLUSTER_BLOCK, SPREAD = 1024, 8
-#: Rows that a task of the join and of the comparison gets, about.
-KEY_ROWS, SET_ROWS = 200_000, 1500
+#: A cluster is cut into blocks of so many words, but into no more than SPREAD unless those exceed MOST_WORDS words.
+BLOCK_WORDS, SPREAD, MOST_WORDS = 150_000, 8, 1_000_000
+#: Rows that a task of the join gets, and words that a task of the comparison gets, about.
+KEY_ROWS, TASK_WORDS = 200_000, 400_000
 #: Cluster members up to which their identifiers are broadcast to the second scan; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -120,7 +120,7 @@ def star(ids: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
 
 
 def documents_features(docs: DataFrame, id_col: str, text_col: str, like: Similarity) -> DataFrame:
-    """(id, n, low, high, sig): set size, a 128-bit digest of the set, and its signature."""
+    """(id, n, low, high, sig): set size, a digest of the set (two sums of independent 64-bit hashes), and its signature."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +133,9 @@ def documents_features(docs: DataFrame, id_col: str, text_col: str, like: Simila
                 digest = np.zeros((2, b - a), np.int64)
                 sig = np.zeros((b - a, SYMBOLS), np.uint16)
                 if has.any():
-                    digest[0, has] = np.add.reduceat(mix(sets), at[:-1][has]).view(np.int64)
-                    digest[1, has] = np.add.reduceat(mix(sets ^ U64(0x5851F42D4C957F2D)), at[:-1][has]).view(np.int64)
-                    sig[has] = signatures(sets, at)
+                    for half in range(2):
+                        digest[half, has] = np.add.reduceat(mix(sets[half]), at[:-1][has]).view(np.int64)
+                    sig[has] = signatures(sets[0], at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "n", "low", "high", "sig"])
 
     return rows.mapInArrow(run, "id long, n long, low long, high long, sig binary")
@@ -212,66 +212,75 @@ def candidate_forest(reps: DataFrame, n: int, radius: int) -> DataFrame:
 
 
 def confirmed_forest(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, like: Similarity) -> DataFrame:
-    """(src, dst): a spanning forest of the true links between the members (node) of each candidate component."""
-    spark = docs.sparkSession
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "component")
+    """(src, dst): a spanning forest of the true links between the members (node, n) of each candidate component."""
+    totals = clusters.groupBy("component").agg(F.sum("n").alias("words"))
+    members = clusters.join(totals, "component")
     # a large cluster is cut into blocks by hashed id, and every two blocks meet in a tile
-    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.least(F.ceil(F.col("size") / F.lit(CLUSTER_BLOCK)), F.lit(SPREAD))).cast("long")
+    blocks = F.greatest(F.ceil(F.col("words") / F.lit(MOST_WORDS)), F.least(F.ceil(F.col("words") / F.lit(BLOCK_WORDS)), F.lit(SPREAD))).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     seats = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    members = written(members.select(F.col("node").alias("id"), "component", seats.alias("seats")), "near-members")
-    n, dealt_rows = members.agg(F.count("*"), F.coalesce(F.sum(F.size("seats")), F.lit(0))).first()
-    tasks = max(1, -(-dealt_rows // SET_ROWS))
+    members = written(members.select(F.col("node").alias("id"), "component", "n", seats.alias("seats")), "near-members")
+    count, dealt_words = members.agg(F.count("*"), F.coalesce(F.sum(F.size("seats") * F.col("n")), F.lit(0))).first()
+    tasks = max(1, -(-dealt_words // TASK_WORDS))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = rows.join(F.broadcast(members) if n <= BROADCAST_ROWS else members, "id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = buffer_of(batch.column(batch.schema.get_field_index("text")))
-            rest = [i for i, f in enumerate(batch.schema) if f.name != "text"]
-            for a, b in slices(bounds):
-                hashes, at = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], like.width)
-                blobs = [hashes[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in rest), pa.array(blobs, pa.binary())], [*(batch.schema[i].name for i in rest), "set"])
-
-    dealt = found.select("id", "component", "seats", "text").mapInArrow(sets, "id long, component long, seats array<struct<i:bigint,j:bigint>>, set binary")
-    dealt = dealt.select("id", "component", F.explode("seats").alias("seat"), "set").select("id", F.col("component"), F.col("seat.i").alias("i"), F.col("seat.j").alias("j"), "set")
+    members = members.drop("n")
+    found = rows.join(F.broadcast(members) if count <= BROADCAST_ROWS else members, "id")
+    dealt = found.select("id", "component", F.explode("seats").alias("seat"), "text").select("id", "component", F.col("seat.i").alias("i"), F.col("seat.j").alias("j"), "text")
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(tasks)))
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         ids, component, i, j = (table.column(c).to_numpy() for c in ("id", "component", "i", "j"))
-        blobs = table.column("set").to_pylist()
         order = np.lexsort((j, i, component))
         change = (np.diff(component[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
         src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for own in np.split(order, np.flatnonzero(change) + 1):
-            if len(own) < 2:
-                continue
-            a, b = compare_sets(ids[own], [np.frombuffer(blobs[x], U64) for x in own], like)
-            src.append(a)
-            dst.append(b)
+            if len(own) > 1:
+                a, b = compare_sets(ids[own], *exact_sets(*buffer_of(table.column("text").take(pa.array(own))), like.width), like)
+                src.append(a)
+                dst.append(b)
         return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)})
 
     return dealt.groupBy("task").applyInArrow(compare, "src long, dst long")
 
 
-def compare_sets(ids: np.ndarray, sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, np.ndarray]:
+def exact_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as ascending numbers, equal for equal words in all texts of the batch, and their bounds."""
+    _, codes, at = words(data, bounds)
+    counts = np.diff(at)
+    size = np.where(counts < width, np.minimum(counts, 1), counts - width + 1)
+    text = np.repeat(np.arange(len(counts)), size)
+    first = at[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    # word by word: the number of a shingle's first k words, and the next word; 0 stands for no word
+    number = np.zeros(len(text), np.int64)
+    codes = np.append(codes.astype(np.int64) + 1, 0)
+    most = int(codes.max()) + 1
+    for k in range(width):
+        word = codes[np.where(first + k < at[1:][text], first + k, len(codes) - 1)]
+        number = np.unique(number * most + word, return_inverse=True)[1]
+    pairs = np.unique(text * (int(number.max(initial=0)) + 1) + number)
+    text, number = np.divmod(pairs, int(number.max(initial=0)) + 1)
+    return number, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(counts)))])
+
+
+def compare_sets(ids: np.ndarray, shingles: np.ndarray, at: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between sets; sizes that rule a link out aside, every pair is judged on the sets."""
-    n = np.array([len(s) for s in sets])
+    n = np.diff(at)
+    here = np.zeros(int(shingles.max(initial=0)) + 1, bool)
 
     def linked(x: int, others: np.ndarray) -> np.ndarray:
         out = np.zeros(len(others), bool)
-        fits = 100 * np.minimum(n[others], n[x]) >= like.percent * np.maximum(n[others], n[x])
+        fits = (n[others] > 0) & (n[x] > 0) & (100 * np.minimum(n[others], n[x]) >= like.percent * np.maximum(n[others], n[x]))
         some = np.flatnonzero(fits)
-        for at in range(0, len(some), 512):
-            part = some[at : at + 512]
+        here[shingles[at[x] : at[x + 1]]] = True
+        for k in range(0, len(some), 512):
+            part = some[k : k + 512]
             rows = others[part]
-            values = np.concatenate([sets[r] for r in rows])
-            place = np.minimum(np.searchsorted(sets[x], values), n[x] - 1)
             starts = np.cumsum(n[rows]) - n[rows]
-            common = np.add.reduceat((sets[x][place] == values).astype(np.int64), starts)
+            values = shingles[np.repeat(at[rows] - starts, n[rows]) + np.arange(int(n[rows].sum()))]
+            common = np.add.reduceat(here[values].astype(np.int64), starts)
             out[part] = 100 * common >= like.percent * (n[rows] + n[x] - common)
+        here[shingles[at[x] : at[x + 1]]] = False
         return out
 
     return star(ids, linked)
@@ -281,8 +290,8 @@ def near_dedup(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "
     """One row per input row: id, n_shingles, component_id, kept (the component's smallest id).
 
     Words are runs of other than the six spaces, A-Z lower-cased; null, empty and blank texts have the empty set and
-    link with nothing; a text of fewer words than a shingle has its whole sequence as its only one.  Links are
-    confirmed on the full sets.  Rows that repeat an id are one document in the links; an empty table gives an empty
+    link with nothing; a text of fewer words than a shingle has its whole sequence as its only one.  Links between
+    different sets are confirmed on the words themselves; that two sets are equal is told by 2 x 64 bits.  Rows that repeat an id are one document in the links; an empty table gives an empty
     result; other columns of any name are ignored.  Ids must fit a long; a null id is left out of links.
     """
     features = written(documents_features(docs, id_col, text_col, like), "near-features")
@@ -290,6 +299,7 @@ def near_dedup(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "
     reps = written(filled.groupBy("n", "low", "high").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
     n = reps.count()
     coarse = connected_components(written(candidate_forest(reps, n, like.radius), "near-candidates"))
+    coarse = coarse.join(reps.select(F.col("rep").alias("node"), "n"), "node")
     links = written(confirmed_forest(docs, coarse, id_col, text_col, like), "near-links")
     components = connected_components(links)
     classes = reps.select("n", "low", "high", "rep").join(components, reps.rep == components.node, "left").select("n", "low", "high", F.coalesce("component", "rep").alias("component"))

@@ -24,17 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeloom.llm.bytekit import BYTE_VALUE, LOWER, SPACE, buffer_of, distinct, prefix_sums, range_hash, run_ids
+from pixeloom.llm.bytekit import SPACE, breaks, buffer_of, parts, run_ids, slices, strings
 from pixeloom.llm.ranks import ranked
-from pixeloom.llm.token_count import Table, slices
 from pixeloom.plans.shared import written
 
 #: Patterns with the largest repeat counts that the plan keeps; the remainder packs what they leave.
 MOST_PATTERNS = 8192
 #: Triples are enumerated while there are at most so many; their number is bounded by the capacity's square.
 MOST_TRIPLES = 2_000_000
-#: Token sequences of words that are kept between batches.
-MOST_WORDS = 400_000
+#: Bytes of words and token sequences that a task keeps from slice to slice, and bytes that an entry takes besides its own.
+TABLE_BYTES, ENTRY_BYTES = 24 << 20, 150
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -44,7 +43,7 @@ SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = Tr
 
 
 class WordTokens:
-    """Token ids of whole texts through a table of words.
+    """Token ids of whole texts through a table of words, filed under their bytes.
 
     The tokenizer lower-cases, drops white space and never joins letters with signs, so a text's ids are those of
     its parts between ASCII white space, cut further where an ASCII letter and an ASCII sign meet.
@@ -59,13 +58,13 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.table = Table()
+        self.table: dict[bytes, int] = {}
+        self.held = 0
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """Places of the words' sequences."""
-        got, sizes = [], []
+    def learn(self, words: list[bytes]) -> None:
+        sizes, got = [], []
         for a in range(0, len(words), 2000):  # the library's results are large while they live
             some = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 2000]], add_special_tokens=False)]
             sizes += map(len, some)
@@ -74,18 +73,16 @@ class WordTokens:
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(new)] = new
-        place = len(self.at) + np.arange(len(words))
+        self.table.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
         self.at = np.concatenate([self.at, self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])])
         self.size = np.concatenate([self.size, sizes])
         self.used += len(new)
-        self.table.add(keys, place)
-        return place
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words) + 4 * len(new)
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch in order, and each text's bounds in them."""
-        n = len(bounds) - 1
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         inside = ~SPACE[data]
         cut = inside.copy()
         cut[1:] &= ~inside[:-1]
@@ -94,18 +91,14 @@ class WordTokens:
         begins = bounds[:-1][bounds[:-1] < len(data)]
         cut[begins] |= inside[begins]
         start = np.flatnonzero(cut)
-        # a part ends where the next begins, less the white space between: find the last byte inside before it
-        stop = np.append(start[1:], len(data))
-        outside = np.concatenate([[0], np.cumsum(~inside)])
-        end = stop - (outside[stop] - outside[start])
-        keys, first, back = distinct(range_hash(prefix_sums(data, BYTE_VALUE[LOWER]), start, end))
-        if len(self.at) > MOST_WORDS:
+        names, back = parts(data, inside, start)
+        names = strings(names)
+        if self.held > TABLE_BYTES:
             self.clear()
-        place = self.table.find(keys)
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            raw = data.tobytes()
-            place[missing] = self.learn(keys[missing], [raw[a:b] for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist(), strict=True)])
+        missing = [w for w in names if w not in self.table]
+        if missing:
+            self.learn(missing)
+        place = np.fromiter((self.table[w] for w in names), np.int64, len(names))
         at, size = self.at[place][back], self.size[place][back]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
@@ -115,6 +108,10 @@ class WordTokens:
         """Each text's ids."""
         raw = data.tobytes()
         odd = any(s in raw for s in self.special) or any(len(s) > 2 and s[:2] in raw for s in self.special)
+        if not odd and len(bounds) == 2:  # a very long text goes in parts
+            at = breaks(data)
+            yield np.concatenate([np.zeros(0, np.uint32), *(self.ids(data[a:b], np.array([0, b - a]))[0] for a, b in zip(at[:-1], at[1:], strict=True) if b > a)])
+            return
         if not odd:
             ids, at = self.ids(data, bounds)
             yield from (ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
@@ -130,7 +127,7 @@ class WordTokens:
 
 @functools.lru_cache(maxsize=1)
 def word_tokens(file: str) -> WordTokens:
-    """One per Python worker, so that its table serves the worker's later tasks."""
+    """One per Python worker; a task leaves it without a table."""
     return WordTokens(file)
 
 
@@ -141,21 +138,23 @@ def pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, cap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(tokenizer_file)
-        for batch in batches:
-            data, bounds = buffer_of(batch.column(1))
-            who, piece, start, length, crc = [], [], [], [], []
-            for a, b in slices(bounds):
-                part = data[bounds[a] : bounds[b]]
-                for i, ids in enumerate(words.batch(part, bounds[a : b + 1] - bounds[a]), a):
-                    ids = np.append(ids, np.uint32(end_id))
-                    for k in range(0, len(ids), capacity):
-                        own = ids[k : k + capacity]
-                        who.append(i)
-                        piece.append(k // capacity)
-                        start.append(k)
-                        length.append(len(own))
-                        crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                data, bounds = buffer_of(batch.column(1))
+                for a, b in slices(bounds):
+                    who, piece, start, length, crc = [], [], [], [], []
+                    for i, ids in enumerate(words.batch(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]), a):
+                        ids = np.append(ids, np.uint32(end_id))
+                        for k in range(0, len(ids), capacity):
+                            own = ids[k : k + capacity]
+                            who.append(i)
+                            piece.append(k // capacity)
+                            start.append(k)
+                            length.append(len(own))
+                            crc.append(zlib.crc32(own.astype("<u4").tobytes()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            words.clear()
 
     return rows.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
 

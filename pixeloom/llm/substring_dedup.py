@@ -2,22 +2,26 @@
 
 Suffixes are ordered only as deep as the threshold (``window`` bytes), in
 passes by digits, most significant first; after the last pass, equal groups are
-exactly the repeated windows.
-
-*First digit.*  A window's most significant digit is its anchor: the ``ANCHOR``
-bytes in it with the least hash.  It depends on the window's own bytes alone, so
-equal windows have equal first digits, and neighbouring windows share one: a run
-of windows with the same anchor is one record, (hash of the anchor, hash of the
-run's bytes, document, place), about one for each twenty windows.  Anchors that
-occur in one document only are done: none of their windows is repeated.
-
-*Second digit.*  Runs with equal bytes have the same windows in the same order,
-so all but those of the smallest document are repeated whole.
-
-*Last digits.*  Where one anchor has several different runs, the bytes of their
-smallest documents' runs are brought together and their windows sorted by the
-remaining bytes.  An anchor with very many runs is dealt out by whole windows
-instead, so no group grows with the input.
+exactly the repeated windows.  A group of one document drops out as soon as a
+pass shows it.
+
+*First digit.*  A window's most significant digit is its anchor, the leftmost of
+the ``ANCHOR``-byte strings in it with the least hash, and the anchor's place in
+the window.  It depends on the window's own bytes alone, so equal windows have
+equal first digits, and neighbouring windows share an anchor: a run of them is
+one record (anchor, document, place), about one for each twenty windows.  Where
+an anchor occurs in one document only, none of its windows is repeated.  The
+anchor's hash deals records to tasks; no byte is removed because of it.
+
+*Further digits.*  The bytes of the runs that are left are brought together by
+anchor, and their windows sorted by eight bytes at a time.  Runs with equal
+bytes are one string there, with its smallest document.  An anchor with very
+many runs is dealt out by whole windows instead, so that a common line or
+passage doesn't make one task's group.
+
+Before runs are dealt to other tasks, a task folds those with equal bytes among
+the texts it holds: all but the smallest document's are repeated whole, so a
+text with thousands of copies costs a record for each task, not for each copy.
 
 A pass reads the documents, deals its records to tasks by their digit as packed
 arrays, and hands back which runs or windows of a document are repeated.
@@ -34,54 +38,57 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeloom.llm.bytekit import U64, buffer_of, mix, prefix_sums, range_hash, run_ids
-from pixeloom.llm.token_count import slices
-from pixeloom.plans.shared import scan_bytes, written
+from pixeloom.llm.bytekit import U64, buffer_of, dictionary, mix, run_ids, slices
+from pixeloom.plans.shared import written
 
 #: Bytes of an anchor.
 ANCHOR = 16
-#: Bytes of text that one task's bucket holds, and that are worked on at a time.
-BUCKET_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
-#: Low bits of an anchor's hash that give way to its place; more only in a text of over 16 MB.
+#: Bytes of text that one task's bucket holds, that are worked on at a time, and that are held to fold equal runs.
+BUCKET_BYTES, SLICE_BYTES, HELD_BYTES = 4 << 20, 1 << 19, 6 << 20
+#: Low bits of an anchor's hash that give way to its place in a slice.
 PLACE_BITS = 24
-#: Records of the first pass that are held back to be packed together.
-HELD = 1 << 19
-#: Different runs of one anchor up to which they are compared together; beyond, their windows are dealt out.
+#: Records of one anchor up to which its runs are compared together; beyond, their windows are dealt out.
 MOST_RUNS = 20_000
 #: Kinds of verdicts on a run: repeated whole; to be compared with its anchor's other runs; to be compared by windows.
 WHOLE, RUNS, WINDOWS = 1, 2, 3
 
 #: ``row`` is a hash of a document's text: rows that share an id (or have none) are told apart by it; equal texts share verdicts.
-RECORD = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "<u2")])
-VERDICT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "<u2"), ("kind", "u1"), ("anchor", "<u8")])
+#: ``size`` counts a run's windows, ``rel`` is the anchor's place in the first of them.
+RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1")])
+VERDICT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1"), ("kind", "u1"), ("anchor", "<u8")])
 MASK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("bits", "<u8")])
+#: What goes with a string: ``digit`` is its anchor, or the hash of a window that goes alone.
+STRING = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1"), ("digit", "<u8")])
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data`` on, as one number each; a view."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data).data if len(data) > 7 else bytes(8), 0, (1,))
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: text number, first window's start in the batch, windows, anchor hash, run hash."""
+    """Runs of windows with one anchor: text number, first window's start in the batch, windows, anchor's place, anchor's hash."""
     none = np.zeros(0, np.int64)
     span = window - ANCHOR + 1
     if len(data) < window:
-        return none, none, none, none.view(U64), none.view(U64)
-    sums = prefix_sums(data)
-    grams = np.arange(len(data) - ANCHOR + 1)
-    hashes = range_hash(sums, grams, grams + ANCHOR)
+        return none, none, none, none, none.view(U64)
+    words = eights(data)
+    hashes = mix(words[:-8] ^ mix(words[8:] + U64(0x9E3779B97F4A7C15)))
     # the high bits order the anchors, the low ones carry their place, so that a minimum tells where it is
-    low = max(PLACE_BITS, int(len(data)).bit_length())
-    keyed = (hashes >> U64(low) << U64(low)) | grams.astype(U64)
+    keyed = (hashes >> U64(PLACE_BITS) << U64(PLACE_BITS)) | np.arange(len(hashes), dtype=U64)
     have, best = 1, keyed
     while have * 2 <= span:
         best = np.minimum(best[:-have], best[have:])
         have *= 2
     if have < span:
         best = np.minimum(best[: len(keyed) - span + 1], best[span - have : span - have + len(keyed) - span + 1])
-    place = (best & U64((1 << low) - 1)).astype(np.int64)
+    place = (best & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
     # windows inside one text only
     first = bounds[:-1]
     usable = np.maximum(0, np.diff(bounds) - window + 1)
     texts = np.flatnonzero(usable)
     if not len(texts):
-        return none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none, none.view(U64)
     change = np.zeros(len(place) + 1, bool)
     change[1:-1] = place[1:] != place[:-1]
     change[first[texts]] = True
@@ -92,55 +99,45 @@ def runs(data: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray,
     text = np.searchsorted(bounds, starts, "right") - 1
     good = starts < first[text] + usable[text]
     starts, ends, text = starts[good], ends[good], text[good]
-    anchor = hashes[place[starts]]
-    return text, starts, ends - starts, anchor, range_hash(sums, starts, ends + window - 1)
-
-
-def local_order(anchor: np.ndarray, run: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return np.lexsort((doc, run, anchor))
-
+    return text, starts, ends - starts, place[starts], hashes[place[starts]]
+
+
+def fold(records: np.ndarray, at: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """Which runs (first bytes at ``at``) have the same bytes as one of a smaller document among them."""
+    out = np.zeros(len(records), bool)
+    if len(records) < 2:
+        return out
+    words, size = eights(data), records["size"].astype(np.int64) + window - 1
+    key = mix(records["anchor"] ^ mix(words[at] ^ mix(words[at + size - 8] + size.astype(U64))))
+    order = np.lexsort((records["doc"], key))
+    group = run_ids(key[order])
+    least = order[np.flatnonzero(np.diff(group, prepend=-1))][group]  # one with the smallest document
+    later = records["doc"][order] > records["doc"][least]
+    one, other = order[later], least[later]
+    same = size[one] == size[other]
+    for k in range(0, int(size.max()), 8):  # the key only suggests it: every byte is compared
+        step = np.minimum(k, size[one] - 8)
+        same &= words[at[one] + step] == words[at[other] + np.minimum(k, size[other] - 8)]
+    out[one[same]] = True
+    return out
 
-def settle(records: np.ndarray, final: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Verdicts on records that are known now, and the records that are still open.
 
-    A run whose bytes occur in a smaller document is repeated whole.  When all records of an anchor are here
-    (``final``), the anchors of one document are done, and so are those with one run only.
-    """
-    order = local_order(records["anchor"], records["run"], records["doc"])
-    records = records[order]
-    key = run_ids_of(records["anchor"], records["run"])
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    least = records["doc"][first][key]
-    again = records["doc"] > least
-    done = verdicts(records[again], WHOLE)
-    rest = records[~again]
-    if not final:
-        return done, rest
-    group = run_ids(rest["anchor"])
-    n = int(group[-1]) + 1 if len(group) else 0
+def settle(records: np.ndarray) -> np.ndarray:
+    """Verdicts on all records of some anchors: those of anchors in several documents are to be compared."""
+    records = records[np.argsort(records["anchor"], kind="stable")]
+    group = run_ids(records["anchor"])
+    if not len(group):
+        return verdicts(records, RUNS)
     start = np.flatnonzero(np.diff(group, prepend=-1))
-    low = np.minimum.reduceat(rest["doc"], start) if n else rest["doc"]
-    high = np.maximum.reduceat(rest["doc"], start) if n else rest["doc"]
-    new_run = np.diff(run_ids_of(rest["anchor"], rest["run"]), prepend=-1) != 0
-    different = np.bincount(group, new_run, n) if n else np.zeros(0)
-    open_group = (different > 1) & (low < high)
-    kind = np.where(different > MOST_RUNS, WINDOWS, RUNS)
-    left = open_group[group] if n else np.zeros(0, bool)
-    return np.concatenate([done, verdicts(rest[left], kind[group][left] if n else RUNS)]), rest[:0]
-
-
-def run_ids_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if not len(a):
-        return np.zeros(0, np.int64)
-    new = np.empty(len(a), np.int64)
-    new[0] = 0
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return np.cumsum(new)
+    several = np.minimum.reduceat(records["doc"], start) < np.maximum.reduceat(records["doc"], start)
+    kind = np.where(np.bincount(group) > MOST_RUNS, WINDOWS, RUNS)
+    left = several[group]
+    return verdicts(records[left], kind[group][left])
 
 
 def verdicts(records: np.ndarray, kind) -> np.ndarray:
     out = np.empty(len(records), VERDICT)
-    for name in ("doc", "row", "at", "size"):
+    for name in ("doc", "row", "at", "size", "rel"):
         out[name] = records[name]
     out["kind"] = kind
     out["anchor"] = np.where(out["kind"] == WHOLE, U64(0), records["anchor"])
@@ -155,12 +152,12 @@ def restore(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-#: Bytes of a hash that are kept.  An anchor's bucket comes from its other bits, so it tells anchors apart as well.
-KEPT = {"anchor": 5, "run": 6}
+#: Bytes of an anchor's hash that are dealt with a record; anchors that agree in them are compared together.
+KEPT = {"anchor": 5}
 
 
-def pack(rows: np.ndarray) -> bytes:
-    """Records column by column, so that they compress; places as steps from the one before."""
+def pack(rows: np.ndarray, behind: bytes = b"") -> bytes:
+    """Records column by column, so that they compress, places as steps from the one before; then other bytes."""
     parts = []
     for name in rows.dtype.names:
         column = np.ascontiguousarray(rows[name])
@@ -169,34 +166,41 @@ def pack(rows: np.ndarray) -> bytes:
         if name in KEPT:
             column = np.ascontiguousarray(column.view(np.uint8).reshape(-1, 8)[:, : KEPT[name]])
         parts.append(column.tobytes())
-    return squeeze(np.array([len(rows)], "<i8").tobytes() + b"".join(parts))
+    return squeeze(np.array([len(rows)], "<i8").tobytes() + b"".join(parts) + behind)
+
+
+def unpacked(blob: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
+    raw = restore(blob)
+    m, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
+    part = np.zeros(m, kind)
+    for name in kind.names:
+        width = KEPT.get(name, kind[name].itemsize)
+        if name in KEPT:
+            wide = np.zeros((m, 8), np.uint8)
+            wide[:, :width] = np.frombuffer(raw, np.uint8, m * width, at).reshape(m, width)
+            part[name] = wide.view("<u8").ravel()
+        else:
+            part[name] = np.frombuffer(raw, kind[name], m, at)
+        at += m * width
+    if "at" in kind.names:
+        part["at"] = np.cumsum(part["at"], dtype=np.uint32)
+    return part, raw[at:]
 
 
 def unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
-    parts = []
-    for blob in blobs:
-        raw = restore(blob)
-        m, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
-        part = np.zeros(m, kind)
-        for name in kind.names:
-            if name in KEPT:
-                wide = np.zeros((m, 8), np.uint8)
-                wide[:, : KEPT[name]] = np.frombuffer(raw, np.uint8, m * KEPT[name], at).reshape(m, KEPT[name])
-                part[name] = wide.view("<u8").ravel()
-                at += m * KEPT[name]
-            else:
-                part[name] = np.frombuffer(raw, kind[name], m, at)
-                at += m * kind[name].itemsize
-        if "at" in kind.names:
-            part["at"] = np.cumsum(part["at"], dtype=np.uint32)
-        parts.append(part)
+    parts = [unpacked(blob, kind)[0] for blob in blobs]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def dealt(rows: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Rows packed by bucket; inside one, in the order they came."""
+def by_bucket(bucket: np.ndarray) -> list[np.ndarray]:
+    """The places of each bucket's rows; inside one, in the order they came."""
     order = np.argsort(bucket, kind="stable")
-    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
+def dealt(rows: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Rows packed by bucket."""
+    parts = by_bucket(bucket)
     return [int(bucket[p[0]]) for p in parts], [pack(rows[p]) for p in parts]
 
 
@@ -204,27 +208,45 @@ def bucket_of_doc(doc: np.ndarray, row: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(mix(doc.astype(np.int64).view(U64)) ^ row.astype(np.int64).view(U64)) % U64(buckets)).astype(np.int64)
 
 
+def in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["at"], rows["row"], rows["doc"]))]
+
+
 def places_of(found: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], slice]]:
     """``found`` in order of documents, and each document's part of it by (doc, row)."""
-    found = found[np.lexsort((found["row"], found["doc"]))]
+    found = in_order(found)
     cuts = np.flatnonzero((np.diff(found["doc"]) != 0) | (np.diff(found["row"]) != 0)) + 1
     edges = [0, *cuts.tolist(), len(found)] if len(found) else []
-    return found, {(int(found["doc"][a]), int(found["row"][a])): slice(a, b) for a, b in zip(edges, edges[1:])}
+    return found, {(int(found["doc"][a]), int(found["row"][a])): slice(a, b) for a, b in zip(edges, edges[1:], strict=False)}
 
 
-FIRST, LATER = "a", "v"
+FIRST, LATER, TEXT, BITS = "a", "v", "t", "m"
+
+
+def slices_of(data: np.ndarray, bounds: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first text, start in the data, bounds from there) of slices; a long text goes in parts that overlap by a window."""
+    for a, b in slices(bounds, SLICE_BYTES):
+        if b == a + 1 and bounds[b] - bounds[a] > SLICE_BYTES:
+            for k in range(int(bounds[a]), int(bounds[b]), SLICE_BYTES):
+                yield a, k, np.array([0, min(int(bounds[b]) - k, SLICE_BYTES + window - 1)])
+        else:
+            yield a, int(bounds[a]), bounds[a : b + 1] - bounds[a]
 
 
 def first_pass(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(kind, bucket, rows): open records by anchor and verdicts that a task knows alone by document."""
+    """(kind, bucket, rows): records by anchor, and verdicts on runs that a task can fold by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # records, their places in the bytes, bytes
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            done, rest = settle(np.concatenate(held) if held else np.zeros(0, RECORD), False)
+            base = np.cumsum([0, *(len(d) for *_, d in held)])
+            records = np.concatenate([r for r, *_ in held]) if held else np.zeros(0, RECORD)
+            at = np.concatenate([p + b for (_, p, _), b in zip(held, base, strict=False)]) if held else np.zeros(0, np.int64)
+            whole = fold(records, at, np.concatenate([d for *_, d in held]) if held else np.zeros(0, np.uint8), window)
             held.clear()
-            rest = rest[np.lexsort((rest["at"], rest["row"], rest["doc"]))]
+            done, rest = verdicts(in_order(records[whole]), WHOLE), in_order(records[~whole])
             b1, r1 = dealt(rest, (rest["anchor"] >> U64(8 * KEPT["anchor"])).astype(np.int64) % buckets)
             b2, r2 = dealt(done, bucket_of_doc(done["doc"], done["row"], buckets))
             return pa.RecordBatch.from_arrays([pa.array([FIRST] * len(b1) + [LATER] * len(b2), pa.string()), pa.array(b1 + b2, pa.int64()), pa.array(r1 + r2, pa.binary())], ["kind", "bucket", "rows"])
@@ -232,30 +254,31 @@ def first_pass(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, own = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, bounds = buffer_of(batch.column(1))
-            for a, b in slices(bounds, SLICE_BYTES):
-                base = bounds[a]
-                text, start, size, anchor, whole = runs(data[base : bounds[b]], bounds[a : b + 1] - base, window)
+            for first, base, inner in slices_of(data, bounds, window):
+                part = data[base : base + inner[-1]]
+                text, start, n, place, anchor = runs(part, inner, window)
                 out = np.empty(len(text), RECORD)
-                out["anchor"], out["run"], out["doc"], out["row"], out["size"] = anchor, whole, ids[a + text], own[a + text], size
-                out["at"] = start + base - bounds[a + text]
-                held.append(out)
-                if sum(map(len, held)) >= HELD:
+                out["anchor"], out["doc"], out["row"], out["size"], out["rel"] = anchor, ids[first + text], own[first + text], n, place - start
+                out["at"] = start + base - bounds[first + text]
+                held.append((out, start, part.copy()))
+                size += len(part)
+                if size >= HELD_BYTES:
                     yield flush()
+                    size = 0
         yield flush()
 
     return docs.select("id", "text", F.xxhash64("text")).mapInArrow(run, "kind string, bucket long, rows binary")
 
 
 def second_pass(first: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, rows): verdicts by document, from all records of each anchor and what the first pass knew."""
+    """(kind, bucket, rows): verdicts by document, from all records of each anchor and what the first pass folded."""
 
     def run(table: pa.Table) -> pa.Table:
         rows, same = table.column("rows").to_pylist(), table.column("bucket")[0].as_py()
         if table.column("kind")[0].as_py() == LATER:
             b, r = [same] * len(rows), rows
         else:
-            done, _ = settle(unpack(rows, RECORD), True)
-            done = done[np.lexsort((done["at"], done["row"], done["doc"]))]
+            done = in_order(settle(unpack(rows, RECORD)))
             b, r = dealt(done, bucket_of_doc(done["doc"], done["row"], buckets))
         return pa.table({"kind": pa.array([LATER] * len(b), pa.string()), "bucket": pa.array(b, pa.int64()), "rows": pa.array(r, pa.binary())})
 
@@ -284,147 +307,153 @@ def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
             data, bounds = buffer_of(batch.column(1))
             raw = data.tobytes()
             bucket = bucket_of_doc(ids, own, buckets)
-            order = np.argsort(bucket, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-            yield pa.RecordBatch.from_arrays([pa.array(["t"] * len(parts), pa.string()), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([pack_texts(ids[p], own[p], [raw[bounds[i] : bounds[i + 1]] for i in p]) for p in parts], pa.binary())], ["kind", "bucket", "rows"])
+            parts = by_bucket(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array([TEXT] * len(parts), pa.string()), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([pack_texts(ids[p], own[p], [raw[bounds[i] : bounds[i + 1]] for i in p]) for p in parts], pa.binary())], ["kind", "bucket", "rows"])
 
     return docs.select("id", "text", F.xxhash64("text")).mapInArrow(run, "kind string, bucket long, rows binary")
 
 
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """data[start:start + size] of every row, one behind the other."""
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
+
+
 def third_pass(texts: DataFrame, judged: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, docs, places, bytes): what is compared byte by byte: runs by anchor, or windows by their hash."""
+    """(bucket, rows): the bytes that are to be compared: runs by anchor, or single windows by their hash."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, rows = table.column("kind").to_pylist(), table.column("rows").to_pylist()
         found = unpack([r for k, r in zip(kinds, rows, strict=True) if k == LATER], VERDICT)
         found, of = places_of(found[found["kind"] != WHOLE])
-        doc, own_row, at, strings, anchors = [], [], [], [], []
-        for blob in (r for k, r in zip(kinds, rows, strict=True) if k == "t"):
+        out_bucket, out_rows = [], []
+        for blob in (r for k, r in zip(kinds, rows, strict=True) if k == TEXT):
             ids, bounds, raw = unpack_texts(blob)
-            for i, key in enumerate(ids):
-                for v in found[of.get(key, slice(0))]:
-                    start, size = int(bounds[i]) + int(v["at"]), int(v["size"])
-                    if v["kind"] == RUNS:
-                        strings.append(raw[start : start + size + window - 1])
-                        doc.append(v["doc"])
-                        own_row.append(v["row"])
-                        at.append(v["at"])
-                        anchors.append(v["anchor"])
-                    else:
-                        for k in range(size):
-                            one = raw[start + k : start + k + window]
-                            strings.append(one)
-                            doc.append(v["doc"])
-                            own_row.append(v["row"])
-                            at.append(v["at"] + k)
-                            anchors.append(int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little"))
-        bucket = (np.array(anchors, U64) % U64(buckets)).astype(np.int64)
-        doc, own_row, at = (np.array(x, np.int64) for x in (doc, own_row, at))
-        order = np.argsort(bucket, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-        packed = []
-        for p in parts:
-            own = [strings[x] for x in p]
-            head = np.array([len(p)], "<i8").tobytes() + doc[p].tobytes() + own_row[p].tobytes() + at[p].tobytes() + np.array([len(x) for x in own], "<i8").tobytes()
-            packed.append(squeeze(head + b"".join(own)))
-        return pa.table({"bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), "rows": pa.array(packed, pa.binary())})
+            own = [(of[key], int(bounds[i])) for i, key in enumerate(ids) if key in of]
+            if not own:
+                continue
+            data = np.frombuffer(raw, np.uint8)
+            mine = np.concatenate([found[s] for s, _ in own])
+            start = mine["at"].astype(np.int64) + np.repeat([b for _, b in own], [s.stop - s.start for s, _ in own])
+            # runs of anchors with very many runs go window by window
+            times = np.where(mine["kind"] == WINDOWS, mine["size"], 1).astype(np.int64)
+            step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            alone = np.repeat(mine["kind"] == WINDOWS, times)
+            mine, start = np.repeat(mine, times), np.repeat(start, times) + step
+            out = np.empty(len(mine), STRING)
+            out["doc"], out["row"], out["at"] = mine["doc"], mine["row"], mine["at"] + step
+            out["size"], out["rel"] = np.where(alone, 1, mine["size"]), np.where(alone, 0, mine["rel"])
+            out["digit"] = mine["anchor"]
+            if alone.any():
+                words, some = eights(data), start[alone]
+                digit = np.zeros(len(some), U64)
+                for k in [*range(0, window - 7, 8), window - 8]:
+                    digit = mix(digit ^ words[some + k])
+                out["digit"][alone] = digit
+            bucket = (mix(out["digit"]) % U64(buckets)).astype(np.int64)
+            size = out["size"].astype(np.int64) + window - 1
+            for p in by_bucket(bucket):
+                p = p[np.argsort(out["digit"][p], kind="stable")]
+                out_bucket.append(int(bucket[p[0]]))
+                out_rows.append(pack(out[p], gathered(data, start[p], size[p])))
+        return pa.table({"bucket": pa.array(out_bucket, pa.int64()), "rows": pa.array(out_rows, pa.binary())})
 
     return _with_texts(texts, judged).groupBy("bucket").applyInArrow(run, "bucket long, rows binary")
 
 
+def compared(strings: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """For each string, as bits, which of its windows have the bytes of one in a smaller document."""
+    size = strings["size"].astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(size + window - 1)])
+    # strings with equal bytes are one, of the smallest document
+    names, number = dictionary(data, edges)
+    order = np.lexsort((strings["doc"], number))
+    one = order[np.flatnonzero(np.diff(number[order], prepend=-1))]
+    least = strings["doc"][one]
+    # all windows of the different strings, by first digit: the anchor, and its place in the window
+    times = size[one]
+    owner = np.repeat(np.arange(len(one)), times)
+    step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    digit = np.unique(strings["digit"][one], return_inverse=True)[1][owner] * 128 + strings["rel"][one][owner].astype(np.int64) - step + 64
+    repeated = repeated_windows(eights(data), edges[:-1][one][owner] + step, least[owner], digit, window)
+    bits = np.zeros(len(one), U64)
+    np.bitwise_or.at(bits, owner[repeated], U64(1) << step[repeated].astype(U64))
+    every = np.where(size < 64, (U64(1) << (size % 64).astype(U64)) - U64(1), ~U64(0))
+    return np.where(strings["doc"] > least[number], every, bits[number])
+
+
+def repeated_windows(words: np.ndarray, start: np.ndarray, doc: np.ndarray, digit: np.ndarray, window: int) -> np.ndarray:
+    """Which windows have the bytes of one in a smaller document.
+
+    Passes by a first digit and then by eight bytes at a time, most significant first.  After each pass, groups of
+    one document drop out; what the last one leaves together is equal in all bytes.
+    """
+    out = np.zeros(len(start), bool)
+    left, group = np.arange(len(start)), np.zeros(len(start), np.int64)
+    for at in (None, *range(0, window - 7, 8), *([window - 8] if window % 8 else [])):
+        if not len(left):
+            break
+        now = digit[left] if at is None else words[start[left] + at]
+        order = np.lexsort((now, group))
+        left, now, group = left[order], now[order], group[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (now[1:] != now[:-1]) | (group[1:] != group[:-1])
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        low = np.minimum.reduceat(doc[left], first)
+        several = (low < np.maximum.reduceat(doc[left], first))[group]
+        left, group, least = left[several], group[several], low[group][several]
+    if len(left):
+        out[left[doc[left] > least]] = True
+    return out
+
+
 def last_pass(strings: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, rows): for each string, the windows of it that also start in a smaller document, as bits."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, own_rows, places, sizes, raws = [], [], [], [], []
-        for blob in table.column("rows").to_pylist():
-            raw = restore(blob)
-            n = int(np.frombuffer(raw, "<i8", 1)[0])
-            doc, row, at, size = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(4))
-            docs.append(doc)
-            own_rows.append(row)
-            places.append(at)
-            sizes.append(size)
-            raws.append(raw[8 + 32 * n :])
-        doc, row, at, size, data = np.concatenate(docs), np.concatenate(own_rows), np.concatenate(places), np.concatenate(sizes), np.frombuffer(b"".join(raws), np.uint8)
-        begin = np.cumsum(size) - size
-        count = size - window + 1
-        string = np.repeat(np.arange(len(doc)), count)
-        offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-        repeated = repeated_windows(data, begin[string] + offset, doc[string], window)
-        out = np.zeros(len(doc), MASK)
-        out["doc"], out["row"], out["at"] = doc, row, at
-        np.bitwise_or.at(out["bits"], string[repeated], U64(1) << offset[repeated].astype(U64))
-        out = out[out["bits"] > 0]
-        out = out[np.lexsort((out["at"], out["row"], out["doc"]))]
+        parts = [unpacked(blob, STRING) for blob in table.column("rows").to_pylist()]
+        own = np.concatenate([p for p, _ in parts])
+        data = np.frombuffer(b"".join([b for _, b in parts]), np.uint8)
+        parts.clear()
+        out = np.zeros(len(own), MASK)
+        out["doc"], out["row"], out["at"], out["bits"] = own["doc"], own["row"], own["at"], compared(own, data, window)
+        out = in_order(out[out["bits"] > 0])
         b, r = dealt(out, bucket_of_doc(out["doc"], out["row"], buckets))
         return pa.table({"bucket": pa.array(b, pa.int64()), "rows": pa.array(r, pa.binary())})
 
     return strings.groupBy("bucket").applyInArrow(run, "bucket long, rows binary")
 
 
-def repeated_windows(data: np.ndarray, start: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """Which windows have the bytes of one in a smaller document: passes by eight bytes, most significant first.
-
-    After each pass, groups of one document drop out; what the last one leaves together is equal in all bytes.
-    """
-    least = np.full(len(start), False)
-    open_rows, group = np.arange(len(start)), np.zeros(len(start), np.int64)
-    at = 0
-    while at < window and len(open_rows):
-        width = min(8, window - at)
-        digit = np.zeros(len(open_rows), U64)
-        for k in range(width):
-            digit = (digit << U64(8)) | data[start[open_rows] + at + k]
-        order = np.lexsort((doc[open_rows], digit, group))
-        open_rows, group = open_rows[order], run_ids_of(group[order].astype(U64), digit[order])
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        # rows are in order of documents inside a group
-        last = np.append(first[1:], len(group)) - 1
-        several = (doc[open_rows[first]] < doc[open_rows[last]])[group]
-        open_rows, group = open_rows[several], group[several]
-        at += width
-    if len(open_rows):
-        order = np.lexsort((doc[open_rows], group))
-        open_rows, group = open_rows[order], group[order]
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        low = np.repeat(doc[open_rows[first]], np.diff(np.append(first, len(group))))
-        least[open_rows[doc[open_rows] > low]] = True
-    return least
-
-
 def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.unionByName(rows.select("kind", "bucket", "rows"))
 
 
 def remove(texts: DataFrame, judged: DataFrame, masks: DataFrame, window: int) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_text): the documents without their repeated bytes."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256): the documents without their repeated bytes."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, rows = table.column("kind").to_pylist(), table.column("rows").to_pylist()
         found = unpack([r for k, r in zip(kinds, rows, strict=True) if k == LATER], VERDICT)
         found, of = places_of(found[found["kind"] == WHOLE])
-        bits = unpack([r for k, r in zip(kinds, rows, strict=True) if k == "m"], MASK)
+        bits = unpack([r for k, r in zip(kinds, rows, strict=True) if k == BITS], MASK)
         bits, bits_of = places_of(bits)
         out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for blob in (r for k, r in zip(kinds, rows, strict=True) if k == "t"):
+        for blob in (r for k, r in zip(kinds, rows, strict=True) if k == TEXT):
             ids, bounds, raw = unpack_texts(blob)
             for i, key in enumerate(ids):
                 text = raw[bounds[i] : bounds[i + 1]]
                 v, m = found[of.get(key, slice(0))], bits[bits_of.get(key, slice(0))]
                 removed = spans = 0
                 if len(v) or len(m):
-                    step = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(step, v["at"].astype(np.int64), 1)
-                    np.add.at(step, v["at"].astype(np.int64) + v["size"] + window - 1, -1)
+                    begin, end = v["at"].astype(np.int64), v["at"].astype(np.int64) + v["size"] + window - 1
                     if len(m):
                         which, k = np.nonzero((m["bits"][:, None] >> np.arange(64, dtype=U64)) & U64(1))
                         start = m["at"][which].astype(np.int64) + k
-                        np.add.at(step, start, 1)
-                        np.add.at(step, start + window, -1)
+                        begin, end = np.concatenate([begin, start]), np.concatenate([end, start + window])
+                    n = len(text)
+                    step = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
                     gone = np.cumsum(step[:-1]) > 0
                     removed = int(gone.sum())
-                    spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     text = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 out["id"].append(key[0])
                 out["n_bytes"].append(int(bounds[i + 1] - bounds[i]))
@@ -433,24 +462,25 @@ def remove(texts: DataFrame, judged: DataFrame, masks: DataFrame, window: int) -
                 out["kept_sha256"].append(hashlib.sha256(text).hexdigest())
         return pa.table({k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()})
 
-    tagged = judged.select("kind", "bucket", "rows").unionByName(masks.select(F.lit("m").alias("kind"), "bucket", "rows"))
+    tagged = judged.select("kind", "bucket", "rows").unionByName(masks.select(F.lit(BITS).alias("kind"), "bucket", "rows"))
     return _with_texts(texts, tagged).groupBy("bucket").applyInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed when it is covered by a ``window``-byte string that also starts in a document with a smaller
     id; strings never cross documents and are judged on the input.  Null and short texts keep all they have.  Rows
     that repeat an id, or have none, are judged each by its own text; their strings aren't repeated by each other, as
-    neither id is smaller, and a null id comes before all others.  An empty table gives an empty result; other columns
-    of any name are ignored.
+    neither id is smaller, and a null id comes before all others (an id of -2**63 counts as null).  An empty table
+    gives an empty result; other columns of any name are ignored.
     """
     if not ANCHOR < window <= ANCHOR + 63:
         raise ValueError(f"window must be in {ANCHOR + 1}..{ANCHOR + 63}")
     null = F.lit(-(1 << 63)).cast("long")  # stands for a null id, before all others
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), null).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    buckets = max(1, -(-2 * scan_bytes(rows) // BUCKET_BYTES))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // bucket_bytes))
     judged = written(second_pass(first_pass(rows, window, buckets), buckets), "suffix-verdicts")
     texts = texts_by_bucket(rows, buckets)
     masks = written(last_pass(third_pass(texts, judged, window, buckets), window, buckets), "suffix-masks")

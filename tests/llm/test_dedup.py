@@ -81,13 +81,15 @@ def test_near_dedup(spark, width, percent, seed):
 
 def test_links_are_confirmed_whatever_the_signatures(monkeypatch):
     monkeypatch.setattr(near_dedup.Similarity, "radius", property(lambda self: 0))
-    sets = [np.arange(200, dtype=np.uint64), np.arange(10, 200, dtype=np.uint64), np.arange(5000, 5190, dtype=np.uint64)]
-    src, dst = near_dedup.compare_sets(np.array([4, 5, 6]), sets, near_dedup.Similarity(5, 95))
+    shingles = np.concatenate([np.arange(200), np.arange(10, 200), np.arange(5000, 5190)])
+    src, dst = near_dedup.compare_sets(np.array([4, 5, 6]), shingles, np.array([0, 200, 390, 580]), near_dedup.Similarity(5, 95))
     assert (src.tolist(), dst.tolist()) == ([4], [5])
 
 
 def test_oversized_keys_and_clusters_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(near_dedup, "MOST_WORDS", 700)
     test_near_dedup(spark, 3, 85, 3)
 
 
@@ -116,47 +118,81 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "most"), [(50, 20_000), (50, 1), (24, 20_000)])
-def test_substring_dedup(spark, monkeypatch, window, most):
-    rng = random.Random(window)
+def substring_rows(seed):
+    rng = random.Random(seed)
     passages = ["".join(rng.choice("abcdeé \n") for _ in range(rng.randrange(20, 160))) for _ in range(12)]
     rows = [(0, None), (1, ""), (2, "a" * 49), (3, "a" * 300), (4, "a" * 200), (5, "ab" * 100), (6, "ba" * 100)]
     for i in range(7, 80):
         rows.append((i * 3, "".join(rng.choice(passages)[rng.randrange(30) :] + "".join(rng.choice("xyz ") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 6)))))
     rng.shuffle(rows)
-    want = brute_substrings(rows, window)
-    if most == 1:  # the windows themselves are dealt out; in this process, settle is used on the side
-        records = np.zeros(4, substring_dedup.RECORD)
-        records["anchor"], records["run"], records["doc"] = 9, [1, 2, 3, 3], [1, 2, 3, 4]
-        monkeypatch.setattr(substring_dedup, "MOST_RUNS", 1)
-        done, _ = substring_dedup.settle(records, True)
-        assert sorted(done["kind"].tolist()) == [1, 3, 3, 3]
-        return
-    got = substring_dedup.substring_dedup(table(spark, rows), window).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
-
-
-def test_windows_dealt_out_by_hash_give_the_same(spark):
-    """Verdicts of kind WINDOWS instead of RUNS lead to the same masks."""
-    from pyspark.sql import DataFrame
-
-    rows = [(i, f"{i} start of it " + "the very same passage of text which is long enough to count " * 2 + chr(97 + i) * 30) for i in range(6)]
-    docs = spark.createDataFrame(rows, "id long, text string")
-    first = substring_dedup.first_pass(docs, 50, 2)
-    judged: DataFrame = substring_dedup.second_pass(first, 2)
-    texts = substring_dedup.texts_by_bucket(docs, 2)
-
-    def by_windows(blob):
-        v = substring_dedup.unpack([bytes(blob)], substring_dedup.VERDICT)
-        v["kind"][v["kind"] == substring_dedup.RUNS] = substring_dedup.WINDOWS
-        return substring_dedup.pack(v)
-
-    turned = judged.withColumn("rows", F.udf(by_windows, "binary")("rows"))
-    want = brute_substrings(rows, 50)
-    for verdicts in (judged, turned):
-        masks = substring_dedup.last_pass(substring_dedup.third_pass(texts, verdicts, 50, 2), 50, 2)
-        got = substring_dedup.remove(texts, verdicts, masks, 50).collect()
-        assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    return rows
+
+
+@pytest.mark.parametrize(("window", "most", "bucket_bytes"), [(50, 20_000, 1 << 22), (50, 20_000, 9000), (50, 2, 1 << 22), (24, 20_000, 500)])
+def test_substring_dedup(spark, tmp_path, window, most, bucket_bytes):
+    """One bucket, a few (from a file), many; and anchors so hot that their windows are dealt out singly."""
+    rows = substring_rows(window)
+    frame = table(spark, rows)
+    frame.write.parquet(str(tmp_path / "docs"))
+    small = most == 2
+
+    def few(found):
+        found["kind"][found["kind"] == substring_dedup.RUNS] = substring_dedup.WINDOWS
+        return found
+
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    if small:  # the verdicts that a limit of two runs would give, for the workers don't see a changed limit
+        src = docs.selectExpr("coalesce(doc_id, -1) as id", "text")
+        judged = substring_dedup.second_pass(substring_dedup.first_pass(src, window, 2), 2)
+        turn = F.udf(lambda blob: substring_dedup.pack(few(substring_dedup.unpack([bytes(blob)], substring_dedup.VERDICT))), "binary")
+        judged = judged.withColumn("rows", turn("rows"))
+        texts = substring_dedup.texts_by_bucket(src, 2)
+        masks = substring_dedup.last_pass(substring_dedup.third_pass(texts, judged, window, 2), window, 2)
+        got = substring_dedup.remove(texts, judged, masks, window).withColumnRenamed("id", "doc_id").collect()
+    else:
+        got = substring_dedup.substring_dedup(docs, window, bucket_bytes=bucket_bytes).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_substrings(rows, window)
+
+
+def test_no_byte_is_removed_on_a_hash(monkeypatch):
+    """All anchors alike and all keys alike: still only equal bytes fold and only equal windows are repeated."""
+    monkeypatch.setattr(substring_dedup, "mix", lambda x: x & np.uint64(1))
+    rng = random.Random(6)
+    texts = [t.encode() for _, t in substring_rows(50) if t and len(t) > 60]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    text, start, size, place, anchor = substring_dedup.runs(data, at, 50)
+    records = np.zeros(len(text), substring_dedup.RECORD)
+    records["anchor"], records["doc"], records["at"], records["size"], records["rel"] = anchor, text, start - at[text], size, place - start
+    whole = substring_dedup.fold(records, start, data, 50)
+    raw = data.tobytes()
+    run = lambda i: raw[start[i] : start[i] + int(size[i]) + 49]
+    assert all(any(run(i) == run(j) and text[j] < text[i] for j in range(len(text))) for i in np.flatnonzero(whole))
+    strings = np.zeros(len(text), substring_dedup.STRING)
+    for name in ("doc", "at", "size", "rel"):
+        strings[name] = records[name]
+    strings["digit"] = 3  # one anchor for all
+    strings["rel"] = records["rel"] - records["rel"]
+    blob = np.frombuffer(b"".join(run(i) for i in range(len(text))), np.uint8)
+    strings["size"], whole_strings = 1, [raw[s : s + 50] for s in start]
+    blob = np.frombuffer(b"".join(whole_strings), np.uint8)
+    bits = substring_dedup.compared(strings, blob, 50)
+    assert [bool(b) for b in bits] == [any(w == v and text[j] < text[i] for j, v in enumerate(whole_strings)) for i, w in enumerate(whole_strings)]
+    assert rng is not None
+
+
+def test_a_settled_anchor():
+    records = np.zeros(5, substring_dedup.RECORD)
+    records["anchor"], records["doc"] = [9, 9, 4, 4, 7], [1, 2, 3, 3, 5]
+    assert sorted(substring_dedup.settle(records)["doc"].tolist()) == [1, 2]
+
+
+def test_a_text_longer_than_a_slice(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3 * substring_dedup.SLICE_BYTES // 2))
+    middle = substring_dedup.SLICE_BYTES
+    rows = [(1, long[middle - 300 : middle + 300]), (2, long), (3, "x" + long[-200:])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert got == {1: (600, 0), 2: (len(long), 600), 3: (201, 200)}
 
 
 @pytest.mark.parametrize(("block", "sub"), [(4096, 1024), (40, 16)])

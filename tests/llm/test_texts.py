@@ -41,18 +41,50 @@ def test_token_counts(spark):
     assert token_count.count_tokens(docs(spark, rows).limit(0), path).isEmpty()
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7])
+@pytest.mark.parametrize("chunk", [1, 2, 7, 64])
 def test_chunk_maps_compose_in_any_order(monkeypatch, chunk):
-    machine = token_count.transducer(file("piece_bpe_32k.model"))
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = file("piece_bpe_32k.model")
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), token_count.transducer(path)
     monkeypatch.setattr(token_count, "CHUNK", chunk)
-    for t in texts(chunk, 60):
-        data = (t or "").replace("▁", " ").encode()
-        if data:
-            want = len(machine.model.encode(data.decode()))
-            assert machine.long_text(data) == want
-            maps = [machine.chunk_map((b" " + data)[i : i + chunk]) for i in range(0, len(data) + 1, chunk)]
-            last = machine.scan(maps)[-1]
-            assert last.count + sum(machine.emitted([u for u in (last.head, last.tail) if u])) == want
+    some = [(t or "").replace("▁", " ") for t in texts(chunk, 200)] + ["日本語" * 300, "執" * 90, " " * 77, "ab" * 400]
+    raw = [t.encode() for t in some]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    assert machine.counts(data, bounds).tolist() == [len(x) for x in library.encode(some)]
+    # one text's maps composed in another order
+    text = np.frombuffer((" " + some[-4] + some[12] + some[30]).encode(), np.uint8)
+    begin = np.arange(0, len(text), chunk)
+    maps = machine.chunk_maps(text, begin, np.minimum(begin + chunk, len(text)))
+    done = [machine.scan(text, maps, np.zeros(len(maps)))[-1:]]
+    while len(maps) > 1:
+        k = len(maps) // 2 - 1
+        maps = np.concatenate([maps[:k], machine.compose(text, maps[k : k + 1], maps[k + 1 : k + 2]), maps[k + 2 :]]) if k >= 0 else machine.compose(text, maps[:1], maps[1:])
+    for m in (*done, maps):
+        begin, end, head, count, tail, _ = m[0]
+        assert count + sum(machine.units(text, np.array([begin, tail]), np.array([head, end]))) == len(library.encode(text.tobytes().decode()[1:]))
+
+
+def thue_morse(a, b, n):
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements are told apart by tokenizers' tables and by near-duplicates."""
+    from pixeloom.llm import near_dedup
+
+    tokenizers, sentencepiece = pytest.importorskip("tokenizers"), pytest.importorskip("sentencepiece")
+    rows = [w for x, y in ("ab", "cd", "xz") for n in (10, 11) for w in thue_morse(x, y, n)]
+    frame = docs(spark, rows)
+    path = file("piece_bpe_32k.model")
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(rows)]
+    assert [r.n_tokens for r in token_count.count_tokens(frame, path).orderBy("doc_id").collect()] == want
+    path = file("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    want = [zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in rows]
+    assert [r.ids_crc32 for r in packing.pack(frame, path).orderBy("doc_id").collect()] == want
+    assert all(r.kept and r.component_id == r.doc_id for r in near_dedup.near_dedup(frame).collect())
 
 
 def test_packing(spark):
