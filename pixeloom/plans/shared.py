@@ -68,6 +68,12 @@ def clear(spark: SparkSession) -> None:
     spark.catalog.clearCache()
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that a plan's result holds, from the sizes of the files that it reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: Bytes of texts that one Arrow batch holds: what executors and their Python workers each hold at a time.
+BATCH_BYTES = "4m"
+_BATCHES, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session are bounded by BATCH_BYTES, unless the session has a bound of its own already."""
+    if spark.conf.get(_BATCHES, _SPARKS_OWN) == _SPARKS_OWN:
+        spark.conf.set(_BATCHES, BATCH_BYTES)
