@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeloom.operators.graph import connected_components
-from pixeloom.plans.shared import written
+from pixeloom.plans.shared import bound_batches, written
 
 #: Vectors of a block, and blocks at most: beyond that, blocks grow.
 BLOCK, MOST_BLOCKS = 4096, 2048
@@ -34,20 +34,33 @@ SUB, PAIRS = 1024, 1 << 18
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, key): the vector as bytes of doubles; key is null where the vector is null, zero or not finite."""
+    """(id, key): the vector as bytes of doubles, scaled by a power of two; key is null where it is null, zero or not finite."""
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
             lists = batch.column(1)
-            values = lists.values.to_numpy(zero_copy_only=False)
-            at = lists.offsets.to_numpy()
-            for i, there in enumerate(lists.is_valid().to_numpy(zero_copy_only=False)):
-                v = values[at[i] : at[i + 1]]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    good = there and len(v) and np.isfinite(v).all() and 0 < np.dot(v, v) < np.inf
-                keys.append(v.tobytes() if good else None)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN
+            size = np.diff(at) * lists.is_valid().to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(size > 0)
+            good, most = np.zeros(len(batch), bool), np.zeros(len(batch))
+            if len(some):
+                # a null list may still have values behind it, which no row's own range holds
+                inside = np.zeros(len(values) + 1, np.int64)
+                np.add.at(inside, at[:-1][some], 1)
+                np.add.at(inside, at[1:][some], -1)
+                values = values[np.cumsum(inside[:-1]) > 0]
+                start = np.cumsum(size[some]) - size[some]
+                most[some] = np.maximum.reduceat(np.abs(values), start)
+                good[some] = np.isfinite(most[some]) & (most[some] > 0)
+                # by the power of two of its largest component, exactly: no square over- or underflows, cosines stay as they are
+                step = np.zeros(len(batch), np.int64)
+                step[good] = np.frexp(most[good])[1]
+                values = np.ldexp(values, -np.repeat(step[some], size[some]).astype(np.int32))
+                raw, edges = values.tobytes(), np.zeros(len(batch) + 1, np.int64)
+                edges[1:] = np.cumsum(size) * 8
+            keys = [raw[edges[i] : edges[i + 1]] if good[i] else None for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["id", "key"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key binary")
@@ -201,13 +214,15 @@ def compare_tile(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, raw: np.
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
-    Vectors with cosine >= ``threshold`` in double precision are linked; vectors that are null, empty, zero, not
-    finite or too long to have a finite square link with nothing, and vectors of different dimensions never link.
+    Vectors with cosine >= ``threshold`` in double precision are linked; vectors that are null, empty, zero or not
+    finite link with nothing, and vectors of different dimensions never link.
+    Vectors are scaled by powers of two first, so very large and very small ones are compared as well.
     Equal vectors are linked whatever their ids; repeated rows count as vectors of their own.  An empty table gives
     an empty result; other columns of any name are ignored.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    bound_batches(vectors.sparkSession)
     rows = written(valid_vectors(vectors, id_col, vector_col), "vectors")
     classes = written(rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.length("key") / 8), "vector-classes")
     spark = vectors.sparkSession

@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixeloom.llm.bytekit import buffer_of
-from pixeloom.llm.bytekit import slices
+from pixeloom.plans.shared import bound_batches
 
 #: Classes of bytes: 0 for what is no letter, 1-26 for a-z and A-Z, 27-63 for bytes of other letters.
 CLASSES = 64
-CLASS = np.zeros(256, np.int64)
+CLASS = np.zeros(256, np.int32)
 CLASS[97:123] = CLASS[65:91] = np.arange(1, 27)
 CLASS[128:] = 27 + np.arange(128) % 37
+#: Bytes of text that are worked on at a time, whatever texts they belong to.
+WINDOW = 1 << 17
 #: Rows of a language that the text model is fitted on, about; rows of the whole table a language needs to be known at all.
 SAMPLE_ROWS, LEAST_ROWS = 4000, 5
 #: Trigrams of a text that count in full: neighbours depend on each other, so long texts must not overrule all else.
@@ -40,16 +42,24 @@ TRUST = 0.9
 BROADCAST_ROWS = 100_000
 
 
-def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a batch's trigrams that hold a letter, and each one's text; a text has a gap before and behind it."""
-    n = len(bounds) - 1
-    text = np.repeat(np.arange(n), np.diff(bounds))
-    wide = np.zeros(len(data) + n + 1, np.int64)
-    middle = np.arange(len(data)) + text + 1
-    wide[middle] = CLASS[data]
-    codes = (wide[middle - 1] * CLASSES + wide[middle]) * CLASSES + wide[middle + 1]
+def trigrams(data: np.ndarray, bounds: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a batch's trigrams that hold a letter and have their middle in data[low:high], and each one's text.
+
+    A text has a gap before and behind it.
+    """
+    high = len(data) if high is None else high
+    own = CLASS[data[low:high]]
+    left, right = np.zeros_like(own), np.zeros_like(own)
+    left[1:], right[:-1] = own[:-1], own[1:]
+    if low > 0:
+        left[:1] = CLASS[data[low - 1]]
+    if high < len(data):
+        right[-1:] = CLASS[data[high]]
+    left[bounds[(bounds >= low) & (bounds < high)] - low] = 0
+    right[bounds[(bounds > low) & (bounds <= high)] - low - 1] = 0
+    codes = (left * CLASSES + own) * CLASSES + right
     good = np.flatnonzero(codes)
-    return codes[good], text[good]
+    return codes[good], np.searchsorted(bounds, good + low, "right") - 1
 
 
 def fit_text_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
@@ -69,14 +79,19 @@ def fit_text_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[lis
     picked = rows.where((F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}  # 1 MB for each language that the task meets
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), object)
             data, bounds = buffer_of(batch.column(0))
-            for a, b in slices(bounds):
-                codes, text = trigrams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                for name in set(names[a:b]):
-                    seen, n = np.unique(codes[names[a:b][text] == name] if len(codes) else codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen)), pa.array(seen), pa.array(n)], ["declared", "code", "n"])
+            for low in range(0, len(data), WINDOW):
+                codes, text = trigrams(data, bounds, low, min(len(data), low + WINDOW))
+                said = names[text] if len(text) else np.zeros(0, object)
+                for name in set(names[slice(text[0], text[-1] + 1)]) if len(text) else ():
+                    seen, n = np.unique(codes[said == name], return_counts=True)
+                    total.setdefault(name, np.zeros(CLASSES**3, np.int32))[seen] += n.astype(np.int32)
+        for name, n in total.items():
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(n[seen].astype(np.int64))], ["declared", "code", "n"])
 
     # at most one row per language and trigram, whatever the input
     counts = picked.select("text", "declared").mapInArrow(count, "declared string, code long, n long").groupBy("declared", "code").agg(F.sum("n").alias("n")).toPandas()
@@ -108,10 +123,12 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     each get their row; without any declared language nothing is known and nothing is kept; an empty table gives
     an empty result; columns that aren't named are ignored or, in ``keep``, passed on whatever they hold.
     """
+    bound_batches(docs.sparkSession)
     none = F.lit(None).cast("string")
     col = lambda c: none if c is None else F.col(f"`{c}`").cast("string")
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("lid__id"), col(text_col).alias("lid__text"), col(declared_col).alias("lid__declared"), col(host_col).alias("lid__host"), col(parent_col).alias("lid__parent"), col(suffix_col).alias("lid__suffix"))
-    languages, model = fit_text_model(base.select(F.col("lid__id").alias("id"), F.col("lid__text").alias("text"), F.col("lid__declared").alias("declared")), sample_rows)
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("lid__id"), *([] if text_col in keep else [col(text_col).alias("lid__text")]), col(declared_col).alias("lid__declared"), col(host_col).alias("lid__host"), col(parent_col).alias("lid__parent"), col(suffix_col).alias("lid__suffix"))
+    text_name = text_col if text_col in keep else "lid__text"
+    languages, model = fit_text_model(base.select(F.col("lid__id").alias("id"), F.col(f"`{text_name}`").cast("string").alias("text"), F.col("lid__declared").alias("declared")), sample_rows)
     verdict = "struct<language:string,confidence:double,kept:boolean>"
     if not languages:
         return base.select(*keep, F.lit(None).cast(verdict).alias("_language")).withColumn("_language", F.struct(none.alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept")))
@@ -119,13 +136,15 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = buffer_of(batch.column(batch.schema.get_field_index("lid__text")))
+            data, bounds = buffer_of(batch.column(batch.schema.get_field_index(text_name)))
             sums, n = np.zeros((len(batch), len(languages))), np.zeros(len(batch), np.int64)
-            for a, b in slices(bounds):
-                codes, text = trigrams(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                n[a:b] = np.bincount(text, minlength=b - a)
-                for k in range(len(languages)):
-                    sums[a:b, k] = np.bincount(text, shared.value[k][codes], b - a)
+            for low in range(0, len(data), WINDOW):
+                codes, text = trigrams(data, bounds, low, min(len(data), low + WINDOW))
+                if len(text):
+                    first, last = int(text[0]), int(text[-1]) + 1
+                    n[first:last] += np.bincount(text - first)
+                    for k in range(len(languages)):
+                        sums[first:last, k] += np.bincount(text - first, shared.value[k][codes])
             scale = np.minimum(n, FULL_WEIGHT) / np.maximum(n, 1)
             each = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, len(languages), dtype=np.int32)), pa.array((sums * scale[:, None]).ravel()))
             kept = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("lid__text", "lid__id") or f.name in keep]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pixeloom.llm.bytekit import BASE, U64, buffer_of, mix, run_ids, shingle_sets, slices, words
 from pixeloom.operators.graph import connected_components
-from pixeloom.plans.shared import written
+from pixeloom.plans.shared import bound_batches, written
 
 #: Symbols of a signature, bits of each, and chunks it is split into.
 SYMBOLS, BITS, CHUNKS = 64, 16, 16
@@ -294,6 +294,7 @@ def near_dedup(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "
     different sets are confirmed on the words themselves; that two sets are equal is told by 2 x 64 bits.  Rows that repeat an id are one document in the links; an empty table gives an empty
     result; other columns of any name are ignored.  Ids must fit a long; a null id is left out of links.
     """
+    bound_batches(docs.sparkSession)
     features = written(documents_features(docs, id_col, text_col, like), "near-features")
     filled = features.where("n > 0 and id is not null")
     reps = written(filled.groupBy("n", "low", "high").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "near-classes")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pixeloom.llm.bytekit import SPACE, breaks, buffer_of, parts, run_ids, slices, strings
 from pixeloom.llm.ranks import ranked
-from pixeloom.plans.shared import written
+from pixeloom.plans.shared import bound_batches, written
 
 #: Patterns with the largest repeat counts that the plan keeps; the remainder packs what they leave.
 MOST_PATTERNS = 8192
@@ -260,6 +260,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     A null or empty text is a document of the end id alone.  Repeated rows and ids are documents of their own.  An
     empty table gives an empty result; other columns of any name are ignored.  Every executor needs the file.
     """
+    bound_batches(docs.sparkSession)
     rows = written(pieces(docs, tokenizer_file, id_col, text_col, capacity, end_id), "pieces")
     # at most `capacity` rows, whatever the input
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeloom.llm.bytekit import U64, buffer_of, dictionary, mix, run_ids, slices
-from pixeloom.plans.shared import written
+from pixeloom.plans.shared import bound_batches, written
 
 #: Bytes of an anchor.
 ANCHOR = 16
@@ -477,6 +477,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     if not ANCHOR < window <= ANCHOR + 63:
         raise ValueError(f"window must be in {ANCHOR + 1}..{ANCHOR + 63}")
+    bound_batches(docs.sparkSession)
     null = F.lit(-(1 << 63)).cast("long")  # stands for a null id, before all others
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), null).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeloom.llm.bytekit import buffer_of, dictionary, slices, strings
+from pixeloom.plans.shared import bound_batches
 
 #: Bytes of a chunk.
 CHUNK = 4096
@@ -281,6 +282,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     Null and empty texts have no bytes and no tokens.  Repeated rows and ids each get their row; an empty table
     gives an empty result; other columns of any name are ignored.  Every executor needs ``model_file``.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
