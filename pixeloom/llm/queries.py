@@ -29,9 +29,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    where = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    return exact_dedup.exact_dedup(docs, locator=where).withColumnRenamed("digest", "text_sha256")
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("file", "row").withColumnRenamed("digest", "text_sha256")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,40 @@ def test_exact_dedup(spark, digest):
         assert {r.digest for r in got} == {hashlib.sha256(k.encode()).hexdigest() for k in groups}
 
 
+def test_state_outlives_a_call(spark, tmp_path):
+    """Three tables arrive; the second and third meet what came before, in files and outside of them."""
+    first = [(1, "a b"), (2, "x"), (3, "ab"), (4, None)]
+    second = [(5, "a  b "), (6, "y"), (7, "x"), (7, "x"), (8, "zz")]
+    third = [(0, "z z"), (9, "new"), (10, " ")]
+    base, seen = str(tmp_path / "state"), []
+    for k, rows in enumerate((first, second, third)):
+        frame = table(spark, rows)
+        if k != 1:
+            frame.write.parquet(str(tmp_path / f"t{k}"))
+            frame = spark.read.parquet(str(tmp_path / f"t{k}"))
+        got = exact_dedup.exact_dedup(frame, state=base).collect()
+        seen += rows
+        groups = {}
+        for i, t in seen:
+            groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), i))
+        want = sorted((i, min(g)[1], len(g)) for i, t in rows for g in [groups[re.sub("[\x20\x09-\x0d]", "", t or "")]])
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+    # digests that stand for several texts, over two calls
+    weak, base = (lambda c: F.length(c).cast("string")), str(tmp_path / "weak")
+    exact_dedup.exact_dedup(table(spark, [(1, "ab"), (2, "cd")]), digest=weak, state=base).collect()
+    got = exact_dedup.exact_dedup(table(spark, [(3, "cd"), (4, "e"), (5, "a  b")]), digest=weak, state=base).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(3, 2, 2, False), (4, 4, 1, True), (5, 5, 2, True)]
+
+
+def test_rows_of_files_are_told_apart(spark, tmp_path):
+    """Equal rows in several files, and columns with the names that the operator uses."""
+    rows = [(1, "one two"), (1, "one two"), (2, "onetwo"), (3, "three")] * 5
+    frame = table(spark, rows, "doc_id long, text string, file string, _metadata int, row int, xd__at double")
+    frame.repartition(3).write.parquet(str(tmp_path / "docs"))
+    left = exact_dedup.distinct_rows(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, "one two"), (3, "three")]
+
+
 def test_empty_tables(spark):
     empty = table(spark, [(1, "x")]).limit(0)
     assert exact_dedup.exact_dedup(empty).isEmpty()
