@@ -8,7 +8,7 @@ shuffle, so texts move only where they must.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixeloom.llm import exact_dedup, language, mixing, near_dedup, packing
@@ -33,23 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with one text the longest, then the one with the smallest id, stays; of repeated rows one stays."""
-    rows = written(exact_dedup.exact_dedup(docs).select(F.col("doc_id").alias("cp__id"), F.col("kept").alias("cp__kept")), "exact-dedup")
-    by_id = rows.groupBy("cp__id").agg(F.count("*").alias("cp__n"), F.sum(F.col("cp__kept").cast("int")).alias("cp__stay"))
-    gone = small(by_id.where("cp__stay = 0").select("cp__id"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("cp__id")), "left_anti")
-    again = small(by_id.where("cp__stay > 0 and cp__n > cp__stay").select("cp__id"))
-    if again.isEmpty():
-        return left
-    # an id that stands on rows that stay and rows that go: one row stays for each of its texts that stays
-    same = docs["doc_id"].eqNullSafe(F.col("cp__id"))
-    rest = left.join(again, same, "left_anti")
-    norm = exact_dedup.sha256(exact_dedup.normalised(F.col("text")))
-    own = left.join(again, same, "left_semi").withColumn("cp__digest", norm)
-    place = F.row_number().over(Window.partitionBy("doc_id", "cp__digest").orderBy(F.length("text").desc_nulls_last(), *[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    own = own.withColumn("cp__place", place).where("cp__place = 1")
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("cp__id"), F.col("digest").alias("cp__kept_digest"))
-    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("cp__id")) & (F.col("cp__digest") == F.col("cp__kept_digest")), "left_semi")
-    return rest.unionByName(own.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return exact_dedup.distinct_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
