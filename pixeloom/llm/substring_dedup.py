@@ -15,8 +15,9 @@ anchor's hash deals records to tasks; no byte is removed because of it.
 
 *Further digits.*  The bytes of the runs that are left are brought together by
 anchor, and their windows sorted by eight bytes at a time.  Runs with equal
-bytes are one string there, with its smallest document.  An anchor with very
-many runs is dealt out by whole windows instead, so that a common line or
+bytes are one string there, with its smallest document.  Where an anchor has
+very many runs, they are parted by the anchor's place in the window and dealt
+out by the bytes that all windows of a part share, so that a common line or
 passage doesn't make one task's group.
 
 Before runs are dealt to other tasks, a task folds those with equal bytes among
@@ -44,20 +45,22 @@ from pixeloom.plans.shared import bound_batches, written
 #: Bytes of an anchor.
 ANCHOR = 16
 #: Bytes of text that one task's bucket holds, that are worked on at a time, and that are held to fold equal runs.
-BUCKET_BYTES, SLICE_BYTES, HELD_BYTES = 4 << 20, 1 << 19, 6 << 20
+BUCKET_BYTES, SLICE_BYTES, HELD_BYTES = 8 << 20, 1 << 19, 6 << 20
 #: Low bits of an anchor's hash that give way to its place in a slice.
 PLACE_BITS = 24
-#: Records of one anchor up to which its runs are compared together; beyond, their windows are dealt out.
+#: Records of one anchor up to which its runs are compared together; beyond, parts of runs are dealt out.
 MOST_RUNS = 20_000
-#: Kinds of verdicts on a run: repeated whole; to be compared with its anchor's other runs; to be compared by windows.
-WHOLE, RUNS, WINDOWS = 1, 2, 3
+#: Places of the anchor in a window that make a part of a run: its windows share all bytes but PLACES - 1.
+PLACES = 6
+#: Kinds of verdicts on a run: repeated whole; to be compared with its anchor's other runs; to be compared by parts.
+WHOLE, RUNS, PARTS = 1, 2, 3
 
 #: ``row`` is a hash of a document's text: rows that share an id (or have none) are told apart by it; equal texts share verdicts.
 #: ``size`` counts a run's windows, ``rel`` is the anchor's place in the first of them.
 RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1")])
 VERDICT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1"), ("kind", "u1"), ("anchor", "<u8")])
 MASK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("bits", "<u8")])
-#: What goes with a string: ``digit`` is its anchor, or the hash of a window that goes alone.
+#: What goes with a string: ``digit`` is its anchor's hash, or that of the bytes that a part's windows share.
 STRING = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1"), ("digit", "<u8")])
 
 
@@ -130,7 +133,7 @@ def settle(records: np.ndarray) -> np.ndarray:
         return verdicts(records, RUNS)
     start = np.flatnonzero(np.diff(group, prepend=-1))
     several = np.minimum.reduceat(records["doc"], start) < np.maximum.reduceat(records["doc"], start)
-    kind = np.where(np.bincount(group) > MOST_RUNS, WINDOWS, RUNS)
+    kind = np.where(np.bincount(group) > MOST_RUNS, PARTS, RUNS)
     left = several[group]
     return verdicts(records[left], kind[group][left])
 
@@ -319,47 +322,60 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
 
 
 def third_pass(texts: DataFrame, judged: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, rows): the bytes that are to be compared: runs by anchor, or single windows by their hash."""
+    """(bucket, rows): the bytes that are to be compared: runs by anchor, or their parts by shared bytes."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, rows = table.column("kind").to_pylist(), table.column("rows").to_pylist()
         found = unpack([r for k, r in zip(kinds, rows, strict=True) if k == LATER], VERDICT)
         found, of = places_of(found[found["kind"] != WHOLE])
-        out_bucket, out_rows = [], []
+        taken, base, raws, size = [], [], [], 0  # verdicts of the documents here, and where their bytes begin
         for blob in (r for k, r in zip(kinds, rows, strict=True) if k == TEXT):
             ids, bounds, raw = unpack_texts(blob)
-            own = [(of[key], int(bounds[i])) for i, key in enumerate(ids) if key in of]
-            if not own:
-                continue
-            data = np.frombuffer(raw, np.uint8)
-            mine = np.concatenate([found[s] for s, _ in own])
-            start = mine["at"].astype(np.int64) + np.repeat([b for _, b in own], [s.stop - s.start for s, _ in own])
-            # runs of anchors with very many runs go window by window
-            times = np.where(mine["kind"] == WINDOWS, mine["size"], 1).astype(np.int64)
-            step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            alone = np.repeat(mine["kind"] == WINDOWS, times)
-            mine, start = np.repeat(mine, times), np.repeat(start, times) + step
-            out = np.empty(len(mine), STRING)
-            out["doc"], out["row"], out["at"] = mine["doc"], mine["row"], mine["at"] + step
-            out["size"], out["rel"] = np.where(alone, 1, mine["size"]), np.where(alone, 0, mine["rel"])
-            out["digit"] = mine["anchor"]
-            if alone.any():
-                words, some = eights(data), start[alone]
-                digit = np.zeros(len(some), U64)
-                for k in [*range(0, window - 7, 8), window - 8]:
-                    digit = mix(digit ^ words[some + k])
-                out["digit"][alone] = digit
-            bucket = (mix(out["digit"]) % U64(buckets)).astype(np.int64)
-            size = out["size"].astype(np.int64) + window - 1
-            for p in by_bucket(bucket):
-                p = p[np.argsort(out["digit"][p], kind="stable")]
-                out_bucket.append(int(bucket[p[0]]))
-                out_rows.append(pack(out[p], gathered(data, start[p], size[p])))
-        return pa.table({"bucket": pa.array(out_bucket, pa.int64()), "rows": pa.array(out_rows, pa.binary())})
+            own = [(of[key], size + int(bounds[i])) for i, key in enumerate(ids) if key in of]
+            if own:
+                taken += [s for s, _ in own]
+                base += [b for _, b in own]
+                raws.append(raw)
+                size += len(raw)
+        if not taken:
+            return pa.table({"bucket": pa.array([], pa.int64()), "rows": pa.array([], pa.binary())})
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        mine = np.concatenate([found[s] for s in taken])
+        start = mine["at"].astype(np.int64) + np.repeat(base, [s.stop - s.start for s in taken])
+        strings, start = parted(mine, start, data, window)
+        bucket = (mix(strings["digit"]) % U64(buckets)).astype(np.int64)
+        size = strings["size"].astype(np.int64) + window - 1
+        parts = [p[np.argsort(strings["digit"][p], kind="stable")] for p in by_bucket(bucket)]
+        return pa.table({"bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), "rows": pa.array([pack(strings[p], gathered(data, start[p], size[p])) for p in parts], pa.binary())})
 
     return _with_texts(texts, judged).groupBy("bucket").applyInArrow(run, "bucket long, rows binary")
 
 
+def parted(found: np.ndarray, start: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of verdicts on runs whose first windows are at ``start``, and their places: whole runs, or parts of them."""
+    high, low = found["rel"].astype(np.int64), found["rel"].astype(np.int64) - found["size"] + 1  # places of the anchor, first and last window's
+    by_part = found["kind"] == PARTS
+    times = np.where(by_part, high // PLACES - low // PLACES + 1, 1)
+    row = np.repeat(np.arange(len(found)), times)
+    part = high[row] // PLACES - (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times))
+    by_part, first, last, anchor = by_part[row], high[row], low[row], (start + high)[row]
+    first = np.where(by_part, np.minimum(first, part * PLACES + PLACES - 1), first)
+    last = np.where(by_part, np.maximum(last, part * PLACES), last)
+    out = np.empty(len(row), STRING)
+    for name in ("doc", "row"):
+        out[name] = found[name][row]
+    out["at"], out["size"], out["rel"] = found["at"][row] + (high[row] - first), first - last + 1, first
+    out["digit"] = found["anchor"][row]
+    if by_part.any():
+        words, shared = eights(data), (anchor - part * PLACES)[by_part]
+        digit = part[by_part].astype(U64)
+        length = window - PLACES + 1
+        for k in [*range(0, length - 7, 8), length - 8]:
+            digit = mix(digit * U64(0x9E3779B97F4A7C15) ^ words[shared + k])
+        out["digit"][by_part] = digit
+    return out, anchor - first
+
+
 def compared(strings: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
     """For each string, as bits, which of its windows have the bytes of one in a smaller document."""
     size = strings["size"].astype(np.int64)

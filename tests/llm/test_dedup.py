@@ -164,14 +164,14 @@ def substring_rows(seed):
 
 @pytest.mark.parametrize(("window", "most", "bucket_bytes"), [(50, 20_000, 1 << 22), (50, 20_000, 9000), (50, 2, 1 << 22), (24, 20_000, 500)])
 def test_substring_dedup(spark, tmp_path, window, most, bucket_bytes):
-    """One bucket, a few (from a file), many; and anchors so hot that their windows are dealt out singly."""
+    """One bucket, a few (from a file), many; and anchors so hot that parts of their runs are dealt out."""
     rows = substring_rows(window)
     frame = table(spark, rows)
     frame.write.parquet(str(tmp_path / "docs"))
     small = most == 2
 
     def few(found):
-        found["kind"][found["kind"] == substring_dedup.RUNS] = substring_dedup.WINDOWS
+        found["kind"][found["kind"] == substring_dedup.RUNS] = substring_dedup.PARTS
         return found
 
     docs = spark.read.parquet(str(tmp_path / "docs"))
