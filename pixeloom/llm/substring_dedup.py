@@ -10,8 +10,11 @@ the ``ANCHOR``-byte strings in it with the least hash, and the anchor's place in
 the window.  It depends on the window's own bytes alone, so equal windows have
 equal first digits, and neighbouring windows share an anchor: a run of them is
 one record (anchor, document, place), about one for each twenty windows.  Where
-an anchor occurs in one document only, none of its windows is repeated.  The
-anchor's hash deals records to tasks; no byte is removed because of it.
+an anchor occurs in one document only, none of its windows is repeated; nor is
+one of a run where no other document agrees in the bytes before the anchor or in
+those behind it that make up half of a window's rest, as each window holds one
+of the two whole.  Hashes of these only tell what differs, and deal records to
+tasks; no byte is removed because of them.
 
 *Further digits.*  The bytes of the runs that are left are brought together by
 anchor, and their windows sorted by eight bytes at a time.  Runs with equal
@@ -55,9 +58,10 @@ PLACES = 6
 #: Kinds of verdicts on a run: repeated whole; to be compared with its anchor's other runs; to be compared by parts.
 WHOLE, RUNS, PARTS = 1, 2, 3
 
-#: ``row`` is a hash of a document's text: rows that share an id (or have none) are told apart by it; equal texts share verdicts.
+#: ``row`` is a hash of a document's text where ids repeat or are missing, and tells such rows apart; equal texts share verdicts.
 #: ``size`` counts a run's windows, ``rel`` is the anchor's place in the first of them.
-RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1")])
+#: ``before`` and ``after`` are hashes of the bytes beside the anchor, 0 where the text has too few.
+RECORD = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1"), ("before", "<u2"), ("after", "<u2")])
 VERDICT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("size", "u1"), ("rel", "u1"), ("kind", "u1"), ("anchor", "<u8")])
 MASK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("bits", "<u8")])
 #: What goes with a string: ``digit`` is its anchor's hash, or that of the bytes that a part's windows share.
@@ -125,17 +129,46 @@ def fold(records: np.ndarray, at: np.ndarray, data: np.ndarray, window: int) ->
     return out
 
 
+def beside(data: np.ndarray, bounds: np.ndarray, text: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit hashes, from 1, of the bytes before and behind anchors that make up half of a window's rest; 0 beyond the text.
+
+    Of each window's bytes beside its anchor one half at least lies on one side.
+    """
+    half = (window - ANCHOR + 1) // 2
+    if half < 8:  # too few to read by eights: all are alike
+        return np.ones((2, len(place)), np.uint16)
+    words, out = eights(data), []
+    for start, there in ((place - half, place - half >= bounds[text]), (place + ANCHOR, place + ANCHOR + half <= bounds[text + 1])):
+        start, key = np.where(there, start, 0), np.zeros(len(place), U64)
+        for k in [*range(0, half - 7, 8), half - 8]:
+            key = mix(key * U64(0x9E3779B97F4A7C15) ^ words[start + k])
+        out.append(np.where(there, key % U64(65535) + U64(1), U64(0)).astype(np.uint16))
+    return out[0], out[1]
+
+
+def shared_by_several(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have a pair (first, second) that rows of another document have, too."""
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    start = np.flatnonzero(new)
+    several = np.minimum.reduceat(doc[order], start) < np.maximum.reduceat(doc[order], start)
+    out = np.empty(len(order), bool)
+    out[order] = several[np.cumsum(new) - 1]
+    return out
+
+
 def settle(records: np.ndarray) -> np.ndarray:
-    """Verdicts on all records of some anchors: those of anchors in several documents are to be compared."""
+    """Verdicts on all records of some anchors: those that may share a window with another document's are to be compared."""
+    if not len(records):
+        return verdicts(records, RUNS)
+    may = np.zeros(len(records), bool)
+    for side in ("before", "after"):
+        may |= shared_by_several(records["anchor"], records[side], records["doc"]) & (records[side] > 0)
+    records = records[may]
     records = records[np.argsort(records["anchor"], kind="stable")]
     group = run_ids(records["anchor"])
-    if not len(group):
-        return verdicts(records, RUNS)
-    start = np.flatnonzero(np.diff(group, prepend=-1))
-    several = np.minimum.reduceat(records["doc"], start) < np.maximum.reduceat(records["doc"], start)
-    kind = np.where(np.bincount(group) > MOST_RUNS, PARTS, RUNS)
-    left = several[group]
-    return verdicts(records[left], kind[group][left])
+    return verdicts(records, np.where(np.bincount(group) > MOST_RUNS, PARTS, RUNS)[group] if len(group) else RUNS)
 
 
 def verdicts(records: np.ndarray, kind) -> np.ndarray:
@@ -156,7 +189,7 @@ def restore(blob: bytes) -> bytes:
 
 
 #: Bytes of an anchor's hash that are dealt with a record; anchors that agree in them are compared together.
-KEPT = {"anchor": 5}
+KEPT = {"anchor": 5, "digit": 5}
 
 
 def pack(rows: np.ndarray, behind: bytes = b"") -> bytes:
@@ -263,6 +296,7 @@ def first_pass(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 out = np.empty(len(text), RECORD)
                 out["anchor"], out["doc"], out["row"], out["size"], out["rel"] = anchor, ids[first + text], own[first + text], n, place - start
                 out["at"] = start + base - bounds[first + text]
+                out["before"], out["after"] = beside(part, inner, text, place, window)
                 held.append((out, start, part.copy()))
                 size += len(part)
                 if size >= HELD_BYTES:
@@ -270,7 +304,7 @@ def first_pass(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     size = 0
         yield flush()
 
-    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(run, "kind string, bucket long, rows binary")
+    return docs.select("id", "text", "row").mapInArrow(run, "kind string, bucket long, rows binary")
 
 
 def second_pass(first: DataFrame, buckets: int) -> DataFrame:
@@ -313,7 +347,7 @@ def texts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
             parts = by_bucket(bucket)
             yield pa.RecordBatch.from_arrays([pa.array([TEXT] * len(parts), pa.string()), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([pack_texts(ids[p], own[p], [raw[bounds[i] : bounds[i + 1]] for i in p]) for p in parts], pa.binary())], ["kind", "bucket", "rows"])
 
-    return docs.select("id", "text", F.xxhash64("text")).mapInArrow(run, "kind string, bucket long, rows binary")
+    return docs.select("id", "text", "row").mapInArrow(run, "kind string, bucket long, rows binary")
 
 
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
@@ -496,6 +530,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     bound_batches(docs.sparkSession)
     null = F.lit(-(1 << 63)).cast("long")  # stands for a null id, before all others
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), null).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("id") == null)).limit(1).count() > 0
+    rows = rows.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_bytes))
     judged = written(second_pass(first_pass(rows, window, buckets), buckets), "suffix-verdicts")

@@ -176,7 +176,7 @@ def test_substring_dedup(spark, tmp_path, window, most, bucket_bytes):
 
     docs = spark.read.parquet(str(tmp_path / "docs"))
     if small:  # the verdicts that a limit of two runs would give, for the workers don't see a changed limit
-        src = docs.selectExpr("coalesce(doc_id, -1) as id", "text")
+        src = docs.selectExpr("coalesce(doc_id, -1) as id", "text", "0L as row")
         judged = substring_dedup.second_pass(substring_dedup.first_pass(src, window, 2), 2)
         turn = F.udf(lambda blob: substring_dedup.pack(few(substring_dedup.unpack([bytes(blob)], substring_dedup.VERDICT))), "binary")
         judged = judged.withColumn("rows", turn("rows"))
@@ -213,7 +213,12 @@ def test_no_byte_is_removed_on_a_hash(monkeypatch):
 def test_a_settled_anchor():
     records = np.zeros(5, substring_dedup.RECORD)
     records["anchor"], records["doc"] = [9, 9, 4, 4, 7], [1, 2, 3, 3, 5]
+    records["before"], records["after"] = [6, 6, 1, 1, 1], [0, 8, 2, 2, 0]
     assert sorted(substring_dedup.settle(records)["doc"].tolist()) == [1, 2]
+    records["before"][0] = 7
+    assert not len(substring_dedup.settle(records))
+    records["after"][0] = 8
+    assert len(substring_dedup.settle(records)) == 2
 
 
 def test_a_text_longer_than_a_slice(spark):
