@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pixeloom.operators.graph import connected_components
 from pixeloom.plans.shared import bound_batches, written
 
-#: Vectors of a block, and blocks at most: beyond that, blocks grow.
-BLOCK, MOST_BLOCKS = 4096, 2048
+#: Vectors of one side of a tile, and blocks at most: beyond that, blocks are cut into parts of about BLOCK vectors.
+BLOCK, MOST_BLOCKS = 4096, 512
 #: Leading coordinates that are compared first, and further ones at a time.
 LEAD, STEP = 24, 20
 #: Rows of the sample that the blocks' borders are laid by.
@@ -246,6 +246,7 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     axes = principal_axes(classes, dim)
     lead = min(LEAD, dim)
     blocks = min(MOST_BLOCKS, -(-n // BLOCK))
+    parts = -(-n // (blocks * BLOCK))
     # a bounded sample only lays borders: whatever they are, every row is in one block and every pair in one tile
     some = classes.select("key").sample(min(1.0, SAMPLE / n), 5).limit(2 * SAMPLE).toArrow() if blocks > 1 else None
     tree = borders((unit(matrix(some.column(0).combine_chunks(), dim)) @ axes)[:, :lead], blocks) if some is not None and some.num_rows else []
@@ -262,11 +263,19 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     edges = dealt.groupBy("block").agg(*[f(F.col("box")[k]).alias(f"{name}{k}") for name, f in (("l", F.min), ("h", F.max)) for k in range(lead)], F.max(F.col("box")[lead]).alias("rest")).orderBy("block").toPandas()
     if not len(edges):
         return spark.createDataFrame([], "rep long, links long, root long")
-    # at most MOST_BLOCKS boxes; each block's list of tiles is bounded by their number
+    # at most MOST_BLOCKS boxes, so at most MOST_BLOCKS ** 2 / 2 tiles on the driver and in the broadcast
     names = edges.pop("block").tolist()
-    plan = [(names[i], t, 0 if names[i] == names[x] else 1) for t, (x, y) in enumerate(tiles(edges.to_numpy(), threshold)) for i in {x, y}]
-    seats = spark.createDataFrame(plan, "block long, tile long, side int").groupBy("block").agg(F.collect_list(F.struct("tile", "side")).alias("seats"))
-    sent = dealt.select("key", "rep", "weight", "block").join(F.broadcast(seats), "block").select("key", "rep", "weight", F.explode("seats").alias("s")).select("key", "rep", "weight", "s.tile", "s.side")
+    plan = [(names[i], t, 0 if names[i] == names[x] else 1, x == y) for t, (x, y) in enumerate(tiles(edges.to_numpy(), threshold)) for i in {x, y}]
+    seats = spark.createDataFrame(plan, "block long, tile long, side int, same boolean").groupBy("block").agg(F.collect_list(F.struct("tile", "side", "same")).alias("seats"))
+    sent = dealt.select("key", "rep", "weight", "block").join(F.broadcast(seats), "block").select("key", "rep", "weight", F.explode("seats").alias("s")).select("key", "rep", "weight", "s.tile", "s.side", "s.same")
+    # every part of a block meets every part of the other one, in a tile of its own
+    own = F.pmod(F.xxhash64("rep"), F.lit(parts))
+    sent = sent.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    i = F.when(F.col("same"), low).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    j = F.when(F.col("same"), high).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    side = F.when(F.col("same"), (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side"))
+    sent = sent.select("key", "rep", "weight", "tile", i.alias("i"), j.alias("j"), side.alias("side"))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, weight, side = (table.column(c).to_numpy() for c in ("rep", "weight", "side"))
@@ -274,4 +283,4 @@ def _links(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
         has = np.flatnonzero(links)
         return pa.table({"rep": ids[has], "links": links[has], "root": root[has]})
 
-    return sent.groupBy("tile").applyInArrow(compare, "rep long, links long, root long")
+    return sent.groupBy("tile", "i", "j").applyInArrow(compare, "rep long, links long, root long")

@@ -157,6 +157,9 @@ def candidate_forest(reps: DataFrame, n: int, radius: int) -> DataFrame:
     sampled = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20))).select("sig").mapInArrow(keys_of, "key long")
     hot = {r["key"]: max(2, -(-int(r["n"] / share) // BLOCK)) for r in sampled.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(2, 2 * BLOCK * share)).collect()}
 
+    hot_keys = np.array(sorted(hot), np.int64)
+    hot_blocks = np.array([hot[k] for k in sorted(hot)], np.int64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -164,16 +167,15 @@ def candidate_forest(reps: DataFrame, n: int, radius: int) -> DataFrame:
             keys = index_keys(sig, radius)
             row = np.repeat(np.arange(len(ids)), keys.shape[1])
             keys = keys.ravel()
-            if hot:
-                is_hot = np.isin(keys.view(np.int64), np.array(list(hot), np.int64))
-                more_keys, more_rows = [keys[~is_hot]], [row[~is_hot]]
-                for at in np.flatnonzero(is_hot):
-                    blocks = hot[int(keys[at : at + 1].view(np.int64)[0])]
-                    own = int(mix(ids[row[at] : row[at] + 1].view(U64))[0] % U64(blocks))
-                    pairs = np.array([[min(own, x), max(own, x)] for x in range(blocks)], U64)
-                    more_keys.append(mix((keys[at] * U64(BASE) + pairs[:, 0] + U64(1)) * U64(BASE) + pairs[:, 1]))
-                    more_rows.append(np.full(blocks, row[at]))
-                keys, row = np.concatenate(more_keys), np.concatenate(more_rows)
+            if len(hot_keys):
+                at = np.minimum(np.searchsorted(hot_keys, keys.view(np.int64)), len(hot_keys) - 1)
+                is_hot = hot_keys[at] == keys.view(np.int64)
+                # a row of a hot key goes to a tile for its block with each of the key's blocks
+                blocks, hot_row, hot_key = hot_blocks[at[is_hot]], row[is_hot], keys[is_hot]
+                own = np.repeat(mix(ids[hot_row].view(U64)) % blocks.astype(U64), blocks)
+                other = (np.arange(len(own)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(U64)
+                tile = mix((np.repeat(hot_key, blocks) * U64(BASE) + np.minimum(own, other) + U64(1)) * U64(BASE) + np.maximum(own, other))
+                keys, row = np.concatenate([keys[~is_hot], tile]), np.concatenate([row[~is_hot], np.repeat(hot_row, blocks)])
             bucket = (keys % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             small = sig.astype(np.uint8)  # the low bits: their distance never exceeds the whole symbols'

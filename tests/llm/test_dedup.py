@@ -230,8 +230,8 @@ def test_a_text_longer_than_a_slice(spark):
     assert got == {1: (600, 0), 2: (len(long), 600), 3: (201, 200)}
 
 
-@pytest.mark.parametrize(("block", "sub"), [(4096, 1024), (40, 16)])
-def test_embedding_dedup(spark, monkeypatch, block, sub):
+@pytest.mark.parametrize(("block", "sub", "most"), [(4096, 1024, 512), (40, 16, 512), (40, 16, 3)])
+def test_embedding_dedup(spark, monkeypatch, block, sub, most):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(25, 32))
     x = [(centers[rng.integers(25)] + rng.normal(size=32) * rng.choice([0.05, 0.3, 0.5])).astype(np.float32).tolist() for _ in range(300)]
@@ -240,6 +240,7 @@ def test_embedding_dedup(spark, monkeypatch, block, sub):
     rows += [(1000, None, 0, 0), (1001, [0.0] * 32, 0, 0), (1002, [float("nan")] * 32, 0, 0), (1003, [1.0, None] * 16, 0, 0), (1004, [], 0, 0), (1005, [float("inf")] * 32, 0, 0), (1006, [1.0, 2.0], 0, 0), (1007, [1.0, 2.0], 0, 0)]
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     monkeypatch.setattr(embedding_dedup, "SUB", sub)
+    monkeypatch.setattr(embedding_dedup, "MOST_BLOCKS", most)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, key int, rep int")).collect()}
     good = [(i, np.array(v, np.float64)) for i, v, *_ in rows if i < 1000 or i > 1005]
     parent, links = {i: i for i, *_ in rows}, {i: 0 for i, *_ in rows}
