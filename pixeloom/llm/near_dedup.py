@@ -39,12 +39,14 @@ MISS = 5e-5
 #: Rows of one key or cluster that one task compares; larger ones are cut into blocks of that size.
 BLOCK = 8192
 #: A cluster is cut into blocks of so many words, but into no more than SPREAD unless those exceed MOST_WORDS words.
-BLOCK_WORDS, SPREAD, MOST_WORDS = 150_000, 8, 1_000_000
+BLOCK_WORDS, SPREAD, MOST_WORDS = 40_000, 8, 1_000_000
 #: Rows that a task of the join gets, and words that a task of the comparison gets, about.
-KEY_ROWS, TASK_WORDS = 200_000, 400_000
+KEY_ROWS, TASK_WORDS = 200_000, 120_000
 #: Cluster members up to which their identifiers are broadcast to the second scan; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Symbols that differ in the two nibbles of a byte, by what differs in it.
+_nibbles = np.array([(x & 15 > 0) + (x >> 4 > 0) for x in range(256)], np.uint8)
 _multipliers = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(BASE)) | U64(1)
 
 
@@ -178,7 +180,8 @@ def candidate_forest(reps: DataFrame, n: int, radius: int) -> DataFrame:
                 keys, row = np.concatenate([keys[~is_hot], tile]), np.concatenate([row[~is_hot], np.repeat(hot_row, blocks)])
             bucket = (keys % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            small = sig.astype(np.uint8)  # the low bits: their distance never exceeds the whole symbols'
+            # four low bits of each symbol: their distance never exceeds the whole symbols'
+            small = (sig[:, ::2] & 15).astype(np.uint8) | ((sig[:, 1::2] & 15) << 4).astype(np.uint8)
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             parts = np.split(order, cuts) if len(order) else []
             packed = [keys[p].tobytes() + ids[row[p]].tobytes() + small[row[p]].tobytes() for p in parts]
@@ -187,10 +190,10 @@ def candidate_forest(reps: DataFrame, n: int, radius: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         keys, ids, sig = [], [], []
         for blob in table.column("rows").to_pylist():
-            m = len(blob) // (16 + SYMBOLS)
+            m = len(blob) // (16 + SYMBOLS // 2)
             keys.append(np.frombuffer(blob, U64, m))
             ids.append(np.frombuffer(blob, np.int64, m, 8 * m))
-            sig.append(np.frombuffer(blob, np.uint8, m * SYMBOLS, 16 * m).reshape(m, SYMBOLS))
+            sig.append(np.frombuffer(blob, np.uint8, m * SYMBOLS // 2, 16 * m).reshape(m, SYMBOLS // 2))
         keys, ids, sig = np.concatenate(keys), np.concatenate(ids), np.concatenate(sig)
         order = np.argsort(keys, kind="stable")
         group = run_ids(keys[order])
@@ -198,12 +201,12 @@ def candidate_forest(reps: DataFrame, n: int, radius: int) -> DataFrame:
         starts = np.cumsum(sizes) - sizes
         two = starts[sizes == 2]
         x, y = order[two], order[two + 1]
-        near = (sig[x] != sig[y]).sum(1) <= radius
+        near = _nibbles[sig[x] ^ sig[y]].sum(1) <= radius
         src, dst = [ids[x[near]]], [ids[y[near]]]
         for g in np.flatnonzero(sizes > 2):
             own = order[starts[g] : starts[g] + sizes[g]]
             own_sig = sig[own]
-            a, b = star(ids[own], lambda i, others, s=own_sig: (s[others] != s[i]).sum(1) <= radius)
+            a, b = star(ids[own], lambda i, others, s=own_sig: _nibbles[s[others] ^ s[i]].sum(1) <= radius)
             src.append(a)
             dst.append(b)
         src, dst = np.concatenate(src), np.concatenate(dst)
