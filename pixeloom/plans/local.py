@@ -1,8 +1,8 @@
 """Segmentation of one whole image in a task, with numpy.
 
 Same rules and same results as the DataFrame operators; used for images that fit
-a task.  Windows are visited in order of (row, number), so that a strict
-comparison settles ties as the packed key does.
+a task.  Windows are visited in order of (row, number), and a pixel's key holds
+its distance and the place in that order, so that the least key settles ties.
 """
 
 from __future__ import annotations
@@ -39,19 +39,33 @@ def spatial_table(size: int, config: Config) -> np.ndarray:
     return np.minimum(np.floor(weight * offset), 65535).astype(np.int64)
 
 
+def mirrored(table: np.ndarray, kind: type) -> np.ndarray:
+    """Distances by (dy + 2S, dx + S) for offsets of either sign, so that a window's distances are a slice."""
+    half = np.concatenate([table[:0:-1], table])
+    return np.ascontiguousarray(np.concatenate([half[:, :0:-1], half], axis=1), kind)
+
+
 def distance_type(table: np.ndarray) -> type:
     """The narrowest integers that hold every distance, with a value above them to start from."""
     return np.int16 if table.max() + 3 * 255 < np.iinfo(np.int16).max else np.int32
 
 
-def assign(lab: np.ndarray, clusters: np.ndarray, size: int, table: np.ndarray, config: Config, start: int, stride: int, k: np.ndarray, best: np.ndarray) -> None:
-    """Of sampled rows, ``k`` and ``best`` (of distance_type) become those of the nearest cluster; lab is (h, w, 3)."""
-    h, w, _ = lab.shape
+def assign(planes: list[np.ndarray], clusters: np.ndarray, size: int, table: np.ndarray, config: Config, start: int, stride: int, k: np.ndarray, best: np.ndarray) -> None:
+    """Of sampled rows, ``k`` and ``best`` (of distance_type) become those of the nearest cluster.
+
+    ``planes`` are the Lab channels, each (h, w) of distance_type; ``table`` is mirrored.  The least key of distance
+    and place in the order of visits is a pixel's cluster.
+    """
+    h, w = planes[0].shape
     kind = best.dtype
-    planes = [np.ascontiguousarray(lab[start::stride, :, c], kind) for c in range(3)]
-    near, own = np.full(planes[0].shape, np.iinfo(kind).max, kind), np.ascontiguousarray(k[start::stride])
-    table = table.astype(kind)
-    for number in np.lexsort((np.arange(len(clusters)), clusters[:, 0])):
+    order = np.lexsort((np.arange(len(clusters)), clusters[:, 0]))
+    bits = max(1, int(len(order) - 1).bit_length())
+    wide = np.int32 if (int(table.max()) + 3 * 255 + 1) << bits <= np.iinfo(np.int32).max else np.int64
+    sampled = [plane[start::stride] for plane in planes]
+    near = np.full(sampled[0].shape, np.iinfo(wide).max, wide)
+    # one window's work, kept from cluster to cluster
+    room = [np.empty((2 * size + 1) ** 2, t) for t in (kind, kind, wide)]
+    for place, number in enumerate(order):
         cy, cx, *color = clusters[number, :5].tolist()
         # rows start + i * stride of the window
         first, last = -(-(max(cy - size, 0) - start) // stride), -(-(min(cy + size + 1, h) - start) // stride)
@@ -59,43 +73,52 @@ def assign(lab: np.ndarray, clusters: np.ndarray, size: int, table: np.ndarray,
         if first >= last:
             continue
         left, right = max(cx - size, 0), min(cx + size, w - 1) + 1
-        rows = start + np.arange(first, last) * stride
-        d = table[np.abs(rows - (max(cy, size) if config.top_clip else cy))[:, None], np.abs(np.arange(left, right) - cx)]
-        for plane, value in zip(planes, color, strict=True):
-            part = plane[first:last, left:right] - kind.type(value)
+        away = start + first * stride - (max(cy, size) if config.top_clip else cy) + 2 * size
+        shape = (last - first, right - left)
+        d, part, key = (r[: shape[0] * shape[1]].reshape(shape) for r in room)
+        np.copyto(d, table[away : away + (shape[0] - 1) * stride + 1 : stride, left - cx + size : right - cx + size])
+        for plane, value in zip(sampled, color, strict=True):
+            np.subtract(plane[first:last, left:right], kind.type(value), out=part)
             d += np.abs(part, out=part)
+        np.left_shift(d, bits, out=key, dtype=wide)
+        key += wide(place)
         old = near[first:last, left:right]
-        better = d < old
-        np.copyto(old, d, where=better)
-        np.copyto(own[first:last, left:right], number, where=better)
-    best[start::stride], k[start::stride] = near, own
-
-
-def update(lab: np.ndarray, clusters: np.ndarray, k: np.ndarray, start: int, stride: int) -> np.ndarray:
-    rows, own = lab[start::stride], k[start::stride]
-    y, x = np.nonzero(own >= 0)
-    number = own[y, x]
-    n = np.bincount(number, minlength=len(clusters))
-    columns = [start + y * stride, x, *(rows[y, x, c] for c in range(3))]
+        np.minimum(old, key, out=old)
+    met = near != np.iinfo(wide).max
+    np.copyto(k[start::stride], order.astype(k.dtype)[near & ((1 << bits) - 1) if met.all() else np.where(met, near & ((1 << bits) - 1), 0)], where=met)
+    best[start::stride] = np.where(met, near >> bits, np.iinfo(kind).max)
+
+
+def update(planes: list[np.ndarray], clusters: np.ndarray, k: np.ndarray, start: int, stride: int) -> np.ndarray:
+    own = k[start::stride]
+    h, w = own.shape
+    # bin 0 is for pixels without a cluster
+    number = own.ravel().astype(np.intp) + 1
+    total = lambda values: np.bincount(number, values, len(clusters) + 1)[1:].astype(np.int64)
+    n = np.bincount(number, minlength=len(clusters) + 1)[1:]
     out = clusters.copy()
     has = n > 0
-    for c, values in enumerate(columns):
-        total = np.bincount(number, values, len(clusters)).astype(np.int64)
-        out[has, c] = (total[has] + n[has] // 2) // n[has]
+    places = [np.repeat(start + np.arange(h) * float(stride), w), np.tile(np.arange(w, dtype=float), h)]
+    for c, values in enumerate([*places, *(plane[start::stride].ravel() for plane in planes)]):
+        out[has, c] = (total(values)[has] + n[has] // 2) // n[has]
     out[has, 5] = n[has]
     return out
 
 
-def components(k: np.ndarray) -> np.ndarray:
-    """The smallest flat index of each pixel's 4-connected component of one label; runs of a row are the nodes."""
+def components(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """4-connected components of one label, by runs of equal pixels in a row.
+
+    Where each run starts (flat), its length, and the first run of its component.
+    """
     h, w = k.shape
     new = np.ones((h, w), bool)
     np.not_equal(k[:, 1:], k[:, :-1], out=new[:, 1:])
-    run = (np.cumsum(new.ravel()) - 1).reshape(h, w)
+    begin = np.flatnonzero(new)
+    run = np.cumsum(new.ravel(), dtype=np.int32 if h * w < 1 << 31 else np.int64).reshape(h, w)
     # where two rows agree, a pair of runs shows where the later of them starts
     meet = (k[1:] == k[:-1]) & (new[1:] | new[:-1])
-    i, j = run[1:][meet], run[:-1][meet]
-    label = np.arange(int(run[-1, -1]) + 1)
+    i, j = run[1:][meet] - 1, run[:-1][meet] - 1
+    label = np.arange(len(begin))
     while len(i):
         a, b = label[i], label[j]
         differ = a != b
@@ -105,15 +128,16 @@ def components(k: np.ndarray) -> np.ndarray:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while not np.array_equal(label, label[label]):
             label = label[label]
-    return np.flatnonzero(new)[label][run.ravel()]
+    return begin, np.diff(begin, append=h * w), label
 
 
 def connectivity(k: np.ndarray, size: int, count: int, factor: float) -> np.ndarray:
     h, w = k.shape
-    root = components(k)
-    leaders = np.flatnonzero(root == np.arange(h * w))
-    comp = np.searchsorted(leaders, root)
-    members = np.bincount(comp)
+    begin, length, first = components(k)
+    leads = first == np.arange(len(first))
+    comp = (np.cumsum(leads) - 1)[first]
+    leaders = begin[leads]
+    members = np.bincount(comp, length).astype(np.int64)
     least = int(np.floor(np.float64(np.float32(size * size) * np.float32(factor)) + 0.5))
     big = np.flatnonzero(members >= least)
     if len(big) > count:
@@ -123,10 +147,11 @@ def connectivity(k: np.ndarray, size: int, count: int, factor: float) -> np.ndar
     if label[0] < 0:
         label[0] = 0
     beside = np.where(leaders % w > 0, leaders - 1, leaders - w)
-    parent = np.where(label < 0, comp[np.maximum(beside, 0)], np.arange(len(leaders)))
+    above = comp[np.searchsorted(begin, np.maximum(beside, 0), "right") - 1]
+    parent = np.where(label < 0, above, np.arange(len(leaders)))
     while not np.array_equal(parent, parent[parent]):
         parent = parent[parent]
-    return label[parent][comp].reshape(h, w)
+    return np.repeat(label[parent][comp], length).reshape(h, w)
 
 
 def run(lab: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,15 +162,17 @@ def run(lab: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray, np.nda
     table = spatial_table(size, config)
     clusters = seeds(lab, count)
     kind = distance_type(table)
+    table = mirrored(table, kind)
+    planes = [np.ascontiguousarray(lab[:, :, c], kind) for c in range(3)]
     k, best = np.full((h, w), -1, np.int32), np.full((h, w), np.iinfo(kind).max, kind)
     start, stride = 0, config.subsample_stride
     for _ in range(config.max_iterations):
-        assign(lab, clusters, size, table, config, start, stride, k, best)
-        clusters = update(lab, clusters, k, start, stride)
+        assign(planes, clusters, size, table, config, start, stride, k, best)
+        clusters = update(planes, clusters, k, start, stride)
         start = (start + 1) % stride
-    assign(lab, clusters, size, table, config, 0, 1, k, best)
+    assign(planes, clusters, size, table, config, 0, 1, k, best)
     if config.final_update:
-        clusters = update(lab, clusters, k, 0, 1)
+        clusters = update(planes, clusters, k, 0, 1)
     best = best.astype(np.int64)
     best[best == np.iinfo(kind).max] = -1
     return connectivity(k, size, count, config.min_size_factor), best, clusters

@@ -95,7 +95,8 @@ def test_no_pixel_is_left_unassigned(w, h):
     size = int(np.sqrt(np.float32(w * h) / np.float32(count)))
     config = Config(num_of_clusters=count, subsample_stride=1)
     k, best = np.full((h, w), -1), np.full((h, w), np.iinfo(np.int16).max, np.int16)
-    local.assign(lab, local.seeds(lab, count), size, local.spatial_table(size, config), config, 0, 1, k, best)
+    table = local.mirrored(local.spatial_table(size, config), np.int16)
+    local.assign([lab[:, :, c].astype(np.int16) for c in range(3)], local.seeds(lab, count), size, table, config, 0, 1, k, best)
     assert (k >= 0).all()
 
 
@@ -136,7 +137,8 @@ def test_components_and_clean_up(spark, seed):
     rng = np.random.default_rng(seed)
     h, w = 14, 17
     k = rng.integers(-1, 3, (h, w))
-    assert np.array_equal(local.components(k).reshape(h, w), brute_components(k))
+    begin, length, first = local.components(k)
+    assert np.array_equal(np.repeat(begin[first], length).reshape(h, w), brute_components(k))
     rows = [(0, y, x, int(k[y, x]) if k[y, x] >= 0 else None, w, h, 4) for y in range(h) for x in range(w)]
     state = spark.createDataFrame(rows, "image_id long, y int, x int, k int, w int, h int, s int")
     want = local.connectivity(k, 4, 5, 0.25)
