@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -46,7 +47,8 @@ class WordTokens:
     """Token ids of whole texts through a table of words, filed under their bytes.
 
     The tokenizer lower-cases, drops white space and never joins letters with signs, so a text's ids are those of
-    its parts between ASCII white space, cut further where an ASCII letter and an ASCII sign meet.
+    its parts between ASCII white space, cut further where an ASCII letter and an ASCII sign meet.  A word of ASCII
+    letters alone is never normalised or cut, so the library's model gets it as it stands; others go the library's whole way.
     """
 
     def __init__(self, file: str):
@@ -54,6 +56,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         self.special = sorted(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.clear()
 
@@ -63,13 +66,19 @@ class WordTokens:
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def encoded(self, words: list[bytes]) -> list[list[int]]:
+        """Each lower-cased word's ids."""
+        out = [[t.id for t in self.model.tokenize(w.decode())] if w.isalpha() else [] for w in words]
+        rest = [i for i, w in enumerate(words) if not w.isalpha()]
+        for a in range(0, len(rest), 2000):  # the library's results are large while they live
+            some = rest[a : a + 2000]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
+
     def learn(self, words: list[bytes]) -> None:
-        sizes, got = [], []
-        for a in range(0, len(words), 2000):  # the library's results are large while they live
-            some = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 2000]], add_special_tokens=False)]
-            sizes += map(len, some)
-            got.append(np.fromiter((i for x in some for i in x), np.uint32))
-        sizes, new = np.array(sizes, np.int64), np.concatenate(got)
+        got = self.encoded(words)
+        sizes, new = np.fromiter(map(len, got), np.int64, len(got)), np.fromiter(itertools.chain.from_iterable(got), np.uint32)
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(new)] = new
@@ -95,10 +104,11 @@ class WordTokens:
         names = strings(names)
         if self.held > TABLE_BYTES:
             self.clear()
-        missing = [w for w in names if w not in self.table]
-        if missing:
-            self.learn(missing)
-        place = np.fromiter((self.table[w] for w in names), np.int64, len(names))
+        place = np.fromiter(map(self.table.get, names, itertools.repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            place[missing] = len(self.at) + np.arange(len(missing))
+            self.learn([names[i] for i in missing])
         at, size = self.at[place][back], self.size[place][back]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
