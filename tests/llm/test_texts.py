@@ -87,6 +87,23 @@ def test_words_that_polynomial_hashes_confuse(spark):
     assert all(r.kept and r.component_id == r.doc_id for r in near_dedup.near_dedup(frame).collect())
 
 
+@pytest.mark.parametrize("table_bytes", [packing.TABLE_BYTES, 2000])
+def test_word_table_equals_the_library(monkeypatch, table_bytes):
+    """Words of letters alone, which go to the model directly, and all others; also when the table is dropped between slices."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = file("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "TABLE_BYTES", table_bytes)
+    rng = random.Random(7)
+    parts = ["a", "e", "th", "S", "ing", "QU", "zq", "\u0301", "é", "ſ", "K", "7", "'", "'s", "-", "!", "日", "\u00ad"]
+    rows = [t or "" for t in texts(9, 100)] + [" ".join("".join(rng.choices(parts, weights=[6] * 7 + [1] * 11, k=rng.randrange(1, 12))) for _ in range(40)) for _ in range(100)]
+    plain, table, got = tokenizers.Tokenizer.from_file(path), packing.WordTokens(path), []
+    for k in range(0, len(rows), 7):
+        raw = [t.encode() for t in rows[k : k + 7]]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        got += [ids.tolist() for ids in table.batch(np.frombuffer(b"".join(raw), np.uint8), bounds)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in rows]
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = file("word_bpe_49k.json")
