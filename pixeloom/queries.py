@@ -261,29 +261,17 @@ def label_edges(spark, d):
 
 @query(O.with_(*CONNECTED, select="SELECT r.image_id, (r.i // c.w)::INT AS y, (r.i % c.w)::INT AS x, c.comp FROM root r JOIN comp c ON c.image_id = r.image_id AND c.leader = r.r"))
 def connected_components(spark, d):
-    state = assigned(spark, d)
-    stride = state.agg(F.max(F.col("w").cast("long") * F.col("h"))).first()[0]
-    runs, found = cc.components(state, stride)
-    runs = runs.withColumn("leader", F.col("root") - F.col("image_id") * stride)
-    met = runs.join(cc.numbered_components(found), ["image_id", "leader"])
-    return met.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "comp")
-
-
-def _found(spark: SparkSession, d: str) -> DataFrame:
-    state = assigned(spark, d)
-    return cc.components(state, state.agg(F.max(F.col("w").cast("long") * F.col("h"))).first()[0])[1]
+    return cc.component_pixels(assigned(spark, d))
 
 
 @query(O.with_(*CONNECTED, select="SELECT image_id, comp, leader::BIGINT AS leader, members FROM comp"))
 def component_sizes(spark, d):
-    return cc.numbered_components(_found(spark, d))
+    return cc.component_sizes(assigned(spark, d))
 
 
 @query(O.with_(*CONNECTED, select="SELECT image_id, leader::BIGINT AS leader, label FROM big"))
 def large_components_topk(spark, d):
-    found = _found(spark, d)
-    sizes = spatial.image_shapes(events(spark, d), 40).select("image_id", "s")
-    return cc.large_components(found.join(sizes, "image_id"), cc.size_threshold(F.col("s"), 0.25), 40).select("image_id", "leader", "label")
+    return cc.large_labels(assigned(spark, d), 40, 0.25)
 
 
 @query(O.with_(*CONNECTED, select="SELECT image_id, y, x, label FROM labels"))

@@ -234,3 +234,66 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         with pytest.raises(RuntimeError):
             shared.shared_folder(Elsewhere)
     assert shared.shared_folder(spark)
+
+
+def noise(seed, h, w, labels):
+    return np.random.default_rng(seed).integers(-1, labels, (h, w))
+
+
+def as_state(spark, images, size=4):
+    rows = [(i, y, x, int(k[y, x]) if k[y, x] >= 0 else None, k.shape[1], k.shape[0], size, y * 50 + x) for i, k in images.items() for y in range(k.shape[0]) for x in range(k.shape[1]) if k[y, x] > -9]
+    return spark.createDataFrame(rows, "image_id long, y int, x int, k int, w int, h int, s int, at int")
+
+
+@pytest.mark.parametrize(("band_pixels", "one_task"), [(1, 0), (34, 1000), (50, 0)])
+def test_bands_give_what_the_whole_image_gives(spark, band_pixels, one_task):
+    images = {3: noise(5, 14, 17, 3), 8: noise(6, 9, 30, 2), 9: noise(7, 1, 5, 3), 11: np.zeros((12, 10), int)}
+    state = as_state(spark, images)
+    got = {(r.image_id, r.y, r.x): (r.label, r.at) for r in components.enforce_connectivity(state, 5, 0.25, one_task=one_task, keep=("at",), band_pixels=band_pixels).collect()}
+    want = {i: local.connectivity(k, 4, 5, 0.25) for i, k in images.items()}
+    assert got == {(i, y, x): (label, y * 50 + x) for i, k in want.items() for (y, x), label in np.ndenumerate(k)}
+    first = {i: brute_components(k) for i, k in images.items()}
+    number = {i: {int(lead): n for n, lead in enumerate(np.unique(c))} for i, c in first.items()}
+    got = {(r.image_id, r.y, r.x): r.comp for r in components.component_pixels(state, band_pixels).collect()}
+    assert got == {(i, y, x): number[i][lead] for i, c in first.items() for (y, x), lead in np.ndenumerate(c)}
+    got = sorted(tuple(r) for r in components.component_sizes(state, band_pixels).collect())
+    assert got == [(i, number[i][lead], lead, n) for i, c in first.items() for lead, n in zip(*(v.tolist() for v in np.unique(c, return_counts=True)), strict=True)]
+
+
+@pytest.mark.parametrize(("band_pixels", "one_task"), [(1 << 18, 1000), (17, 1000), (17, 0)])
+def test_places_without_a_pixel_part_components_and_end_chains(spark, band_pixels, one_task):
+    k = noise(9, 13, 17, 2)
+    k[np.random.default_rng(2).random(k.shape) < 0.2] = -9
+    k[0, 0], k[3, 0], k[4, 0] = 1, -9, 0
+    h, w = k.shape
+    first = brute_components(k).ravel()
+    first[k.ravel() == -9] = -1
+    lead, members = np.unique(first[first >= 0], return_counts=True)
+    large = sorted(sorted(lead[members >= 4], key=lambda i: (-members[lead == i][0], i))[:6])
+    label = {int(i): n for n, i in enumerate(large)}
+    label.setdefault(0, 0)
+    for i in lead.tolist():
+        before = first[i - 1 if i % w else i - w]
+        if i not in label:
+            label[i] = label.get(int(before))
+    got = {(r.y, r.x): r.label for r in components.enforce_connectivity(as_state(spark, {0: k}), 6, 0.25, one_task=one_task, band_pixels=band_pixels).collect()}
+    assert None in label.values() and got == {(i // w, i % w): label[f] for i, f in enumerate(first.tolist()) if f >= 0 and label[f] is not None}
+
+
+def test_clean_up_writes_few_rows(spark, monkeypatch):
+    """No table between the stages has rows for pixels, runs or components; rows with one label in many runs aren't paired."""
+    from pixeloom.operators import bands, graph
+
+    rows, kept = {}, components.written
+
+    def counted(df, name, *partitions):
+        out = kept(df, name, *partitions)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    for module in (components, graph, bands):
+        monkeypatch.setattr(module, "written", counted, raising=False)
+    k = np.tile(np.arange(60) % 2, (40, 1))
+    k[::2] += 2
+    assert components.enforce_connectivity(as_state(spark, {0: k}), 5, 0.25).count() == 2400
+    assert sum(rows.values()) < 100, rows
