@@ -178,8 +178,8 @@ def run(lab: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray, np.nda
     return connectivity(k, size, count, config.min_size_factor), best, clusters
 
 
-def segment(pixels: DataFrame, config: Config) -> DataFrame:
-    """(image_id, y, x, label, min_dist), one task for each image; whole rectangular images of integers are needed."""
+def segment(pixels: DataFrame, config: Config, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, y, x, label, min_dist) and the pixels' INT columns ``keep``, one task for each image; whole rectangular images of integers are needed."""
 
     def one(table: pa.Table) -> pa.Table:
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
@@ -188,6 +188,7 @@ def segment(pixels: DataFrame, config: Config) -> DataFrame:
             lab[y, x, c] = table.column(name).to_numpy()
         labels, best, _ = run(lab, config)
         d = best[y, x].astype(np.int32)
-        return pa.table({"image_id": table.column("image_id"), "y": pa.array(y.astype(np.int32)), "x": pa.array(x.astype(np.int32)), "label": pa.array(labels[y, x].astype(np.int32)), "min_dist": pa.array(d, mask=d < 0)})
+        return pa.table({"image_id": table.column("image_id"), "y": pa.array(y.astype(np.int32)), "x": pa.array(x.astype(np.int32)), "label": pa.array(labels[y, x].astype(np.int32)), "min_dist": pa.array(d, mask=d < 0)} | {n: table.column(n) for n in keep})
 
-    return pixels.select("image_id", "y", "x", "l", "a", "b").groupBy("image_id").applyInArrow(one, "image_id long, y int, x int, label int, min_dist int")
+    more = [n for n in keep if n not in ("l", "a", "b")]
+    return pixels.select("image_id", "y", "x", "l", "a", "b", *more).groupBy("image_id").applyInArrow(one, "image_id long, y int, x int, label int, min_dist int" + "".join(f", {n} int" for n in keep))

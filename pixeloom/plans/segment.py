@@ -17,7 +17,7 @@ from pixeloom.operators.assign import BROADCAST_CLUSTERS, assign
 from pixeloom.operators.components import enforce_connectivity
 from pixeloom.operators.seeds import seed_grid
 from pixeloom.operators.spatial import image_shapes
-from pixeloom.operators.update import update
+from pixeloom.operators.update import rounded_mean, update
 from pixeloom.plans import local
 from pixeloom.plans.shared import written
 
@@ -57,23 +57,24 @@ def iterate(pixels: DataFrame, config: Config, clusters: DataFrame | None = None
     return state, clusters
 
 
-def distributed(pixels: DataFrame, config: Config, clusters: DataFrame | None = None) -> DataFrame:
-    """(image_id, y, x, label, min_dist)."""
+def distributed(pixels: DataFrame, config: Config, clusters: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, y, x, label, min_dist) and the pixels' INT columns ``keep``, which go along with the labels."""
     state, _ = iterate(pixels, config, clusters)
-    labels = enforce_connectivity(state, config.num_of_clusters, config.min_size_factor)
-    return labels.join(state.select("image_id", "y", "x", "min_dist"), ["image_id", "y", "x"])
+    return enforce_connectivity(state, config.num_of_clusters, config.min_size_factor, keep=("min_dist", *keep))
 
 
-def segment(pixels: DataFrame, config: Config) -> DataFrame:
-    """(image_id, y, x, label, min_dist), by the local plan where every image is small enough for one task."""
+def segment(pixels: DataFrame, config: Config, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, y, x, label, min_dist, *keep), by the local plan where every image is small enough for one task."""
     largest = pixels.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
-    return local.segment(pixels, config) if largest <= LOCAL_PIXELS else distributed(pixels, config)
+    return local.segment(pixels, config, keep) if largest <= LOCAL_PIXELS else distributed(pixels, config, keep=keep)
 
 
-def segment_stats(pixels: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per final label: members and rounded mean place and colour."""
-    from pixeloom.operators.update import rounded_mean
-
-    met = labels.join(pixels, ["image_id", "y", "x"])
+def label_stats(segmented: DataFrame) -> DataFrame:
+    """Per final label of pixels with their label and l, a, b: members and rounded mean place and colour; one shuffle, of partial sums."""
     n = F.count("*")
-    return met.groupBy("image_id", "label").agg(n.alias("members"), *[rounded_mean(F.sum(c), n).alias(f"mean_{c}") for c in ("y", "x", "l", "a", "b")])
+    return segmented.groupBy("image_id", "label").agg(n.alias("members"), *[rounded_mean(F.sum(c), n).alias(f"mean_{c}") for c in ("y", "x", "l", "a", "b")])
+
+
+def segment_stats(pixels: DataFrame, labels: DataFrame) -> DataFrame:
+    """:func:`label_stats` of labels whose colours are in another table."""
+    return label_stats(labels.join(pixels, ["image_id", "y", "x"]))

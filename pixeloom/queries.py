@@ -296,8 +296,7 @@ _MEANS = ", ".join(f"((sum(s.{c})::BIGINT + count(*) // 2) // count(*))::INT AS
 
 @query(_full(STRIDED, O.EVENTS, f"SELECT q.image_id, label, count(*) AS members, {_MEANS} FROM labels q JOIN s{{n}} s ON s.image_id = q.image_id AND s.y = q.y AND s.x = q.x GROUP BY ALL"))
 def segment_stats(spark, d):
-    px = events(spark, d)
-    return segment.segment_stats(px, segment.segment(px, STRIDED).select("image_id", "y", "x", "label"))
+    return segment.label_stats(segment.segment(events(spark, d), STRIDED, keep=("l", "a", "b")))
 
 
 @query(_full(SMALL, O.TILES, "SELECT image_id, y, x, label FROM labels"))

@@ -1,5 +1,7 @@
 """Goldens, invariants and comparisons of the two plans."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -297,3 +299,19 @@ def test_clean_up_writes_few_rows(spark, monkeypatch):
     k[::2] += 2
     assert components.enforce_connectivity(as_state(spark, {0: k}), 5, 0.25).count() == 2400
     assert sum(rows.values()) < 100, rows
+
+
+def test_columns_that_go_along(spark, monkeypatch):
+    px = color.to_lab(rasters.synthetic(spark, 24, 16))
+    config = Config(num_of_clusters=8, max_iterations=2, subsample_stride=2)
+    a = segment.segment(px, config, keep=("l", "b"))
+    monkeypatch.setattr(segment, "LOCAL_PIXELS", 10)
+    b = segment.segment(px, config, keep=("l", "b"))
+    assert a.columns == b.columns == ["image_id", "y", "x", "label", "min_dist", "l", "b"]
+    assert a.count() == 24 * 16 and a.exceptAll(b).isEmpty() and b.select("y", "x", "l", "b").exceptAll(px.select("y", "x", "l", "b")).isEmpty()
+    # neither the distances nor the colours are joined back to the labels
+    own = segment.segment(px, config, keep=("l", "a", "b"))
+    for made in (segment.label_stats(own), segment.distributed(px, config)):
+        assert not re.search(r"Join .*\by#", made._jdf.queryExecution().optimizedPlan().toString())
+    want = segment.segment_stats(px, own.select("image_id", "y", "x", "label"))
+    assert segment.label_stats(own).exceptAll(want).isEmpty() and want.exceptAll(segment.label_stats(own)).isEmpty()
