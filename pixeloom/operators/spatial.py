@@ -27,7 +27,7 @@ def spatial_weight(size: Column, compactness: float) -> Column:
 def spatial_distance(dx: Column, dy: Column, weight: Column, metric: str) -> Column:
     """Cut to an integer in 0..65535; 0 where there is no weight (a window of one pixel)."""
     offset = (dx + dy).cast("float") if metric == MANHATTAN else F.hypot(dx.cast("double"), dy.cast("double")).cast("float")
-    return F.coalesce(F.least(F.floor(weight * offset), F.lit(65535)), F.lit(0)).cast("int")
+    return F.when(weight.isNull(), 0).otherwise(F.least(F.floor(weight * offset), F.lit(65535))).cast("int")
 
 
 def spatial_lut(spark: SparkSession, size: int, config: Config) -> DataFrame:

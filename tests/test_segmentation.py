@@ -315,3 +315,42 @@ def test_columns_that_go_along(spark, monkeypatch):
         assert not re.search(r"Join .*\by#", made._jdf.queryExecution().optimizedPlan().toString())
     want = segment.segment_stats(px, own.select("image_id", "y", "x", "label"))
     assert segment.label_stats(own).exceptAll(want).isEmpty() and want.exceptAll(segment.label_stats(own)).isEmpty()
+
+
+@pytest.mark.parametrize(("metric", "clip"), [(EUCLID, True), (MANHATTAN, False)])
+def test_assignment_of_batches_equals_the_join(spark, metric, clip):
+    """Clusters that go to every task: no join, no expression for every pair of pixel and cluster; the same rows as the shuffled join."""
+    rng = np.random.default_rng(4)
+    sizes = {-5: 3, 7: 0, 9: 6, 1 << 40: 2}  # the last image has no clusters
+    color = lambda: [None if v < 4 else int(v) for v in rng.integers(0, 255, 3)]
+    pixels = [(i, y, x, *color(), s, None if y % 2 else 3, 8) for i, s in sizes.items() for y in range(11) for x in range(13)]
+    own = [(i, k, int(rng.integers(-4, 15)), int(rng.integers(0, 13)), *color(), s) for i, s in list(sizes.items())[:3] for k in range(25)]
+    state = spark.createDataFrame(pixels, "image_id long, y int, x int, l int, a int, b int, s int, k int, min_dist int")
+    clusters = spark.createDataFrame(own, "image_id long, k int, cx int, cy int, l int, a int, b int, s int")
+    config = Config(num_of_clusters=25, distance_metric=metric, top_clip=clip)
+    for start, stride, some in ((0, 1, clusters), (1, 3, clusters), (0, 1, clusters.limit(0))):
+        a, b = (assign(state, some, config, start, stride, broadcast=few) for few in (True, False))
+        plan = a._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "lambda" not in plan
+        rows = lambda d: sorted(d.collect(), key=lambda r: (r.image_id, r.y, r.x))
+        assert rows(a) == rows(b) and len(rows(a)) == len(pixels)
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 18])
+def test_assignment_compares_bounded_numbers_of_pairs(monkeypatch, pairs):
+    from pixeloom.operators import assign as module
+
+    monkeypatch.setattr(module, "PAIRS", pairs)
+    rng = np.random.default_rng(1)
+    lab = rng.integers(0, 255, (30, 40, 3)).astype(np.int64)
+    config = Config(num_of_clusters=24, subsample_stride=1)
+    size, own = int(np.sqrt(np.float32(1200) / np.float32(24))), local.seeds(lab, 24)
+    table = local.spatial_table(size, config)
+    kind = local.distance_type(table)
+    k, best = np.full((30, 40), -1), np.full((30, 40), np.iinfo(kind).max, kind)
+    local.assign([lab[:, :, c].astype(kind) for c in range(3)], own, size, local.mirrored(table, kind), config, 0, 1, k, best)
+    clusters = dict(zip(("cy", "cx", "l", "a", "b"), own.T)) | {"k": np.arange(24), "s": np.full(24, size)}
+    at = np.random.default_rng(2).permutation(1200)
+    pixels = {"image_id": np.zeros(1200, np.int64), "y": at // 40, "x": at % 40, "s": np.full(1200, size)} | {n: lab.reshape(-1, 3)[at, c] for c, n in enumerate("lab")}
+    key, covered = module.nearest(module.Buckets(np.zeros(24, np.int64), clusters), config, pixels)
+    assert covered.all() and np.array_equal(key & 0xFFFF, k.ravel()[at]) and np.array_equal(key >> 32, best.ravel()[at])
