@@ -354,3 +354,15 @@ def test_assignment_compares_bounded_numbers_of_pairs(monkeypatch, pairs):
     pixels = {"image_id": np.zeros(1200, np.int64), "y": at // 40, "x": at % 40, "s": np.full(1200, size)} | {n: lab.reshape(-1, 3)[at, c] for c, n in enumerate("lab")}
     key, covered = module.nearest(module.Buckets(np.zeros(24, np.int64), clusters), config, pixels)
     assert covered.all() and np.array_equal(key & 0xFFFF, k.ravel()[at]) and np.array_equal(key >> 32, best.ravel()[at])
+
+
+@pytest.mark.parametrize("band_pixels", [1, 34, 1 << 18])
+def test_large_components_of_bands(spark, band_pixels):
+    """Large ones inside a band and across cuts, ties in size to the earlier one, more of them than wanted."""
+    images = {2: noise(11, 14, 17, 2), 4: np.arange(48).reshape(6, 8) // 8, 6: noise(12, 20, 5, 2)}
+    want = set()
+    for i, k in images.items():
+        lead, members = (v.tolist() for v in np.unique(brute_components(k), return_counts=True))
+        large = sorted(sorted((n for n in zip(lead, members, strict=True) if n[1] >= 4), key=lambda n: (-n[1], n[0]))[:4])
+        want |= {(i, leader, label) for label, (leader, _) in enumerate(large)}
+    assert {tuple(r) for r in components.large_labels(as_state(spark, images), 4, 0.25, band_pixels).collect()} == want
