@@ -301,6 +301,30 @@ def test_clean_up_writes_few_rows(spark, monkeypatch):
     assert sum(rows.values()) < 100, rows
 
 
+def test_numbering_writes_no_more_rows_than_cuts_have_pixels(spark, monkeypatch):
+    """Numbers of components come from bands: no table between the stages has a row for a pixel, run or component inside a band."""
+    from pixeloom.operators import bands, graph
+
+    rows, kept = {}, components.written
+
+    def counted(df, name, *partitions):
+        out = kept(df, name, *partitions)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    for module in (components, graph, bands):
+        monkeypatch.setattr(module, "written", counted)
+    h, w, per = 45, 60, 6
+    k = noise(3, h, w, 3)
+    got = {(r.y, r.x): r.comp for r in components.component_pixels(as_state(spark, {0: k}), per * w).collect()}
+    first = brute_components(k)
+    number = {lead: n for n, lead in enumerate(np.unique(first))}
+    assert got == {p: number[lead] for p, lead in np.ndenumerate(first)}
+    n, cut = -(-h // per), (-(-h // per) - 1) * w
+    assert {name: len(made) for name, made in rows.items()} == {"bands": 1, "edges": 1, "open": 1, "ranks": 1}
+    assert rows["bands"] == rows["ranks"] == [n] and 0 < rows["edges"][0] <= cut and 0 < rows["open"][0] <= 2 * cut < len(number)
+
+
 def test_columns_that_go_along(spark, monkeypatch):
     px = color.to_lab(rasters.synthetic(spark, 24, 16))
     config = Config(num_of_clusters=8, max_iterations=2, subsample_stride=2)
